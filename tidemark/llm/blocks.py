@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 
@@ -46,6 +47,12 @@ def groups(batches: Iterable[pa.RecordBatch], *keys: str) -> Iterator[tuple[tupl
         yield last, pa.Table.from_batches(held)
 
 
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df, a checkpointed frame of a few numbers a row, for the build side of a join: broadcast if it is counted to
+    have at most ``rows`` rows, and otherwise shuffled with a hash table per partition."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("shuffle_hash")
+
+
 def split(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(bucket, parts of the arrays) for each bucket that occurs, in stable order."""
     if not len(bucket):

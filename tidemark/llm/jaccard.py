@@ -49,89 +49,117 @@ def _need(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return -(-n * num // den)
 
 
+PARCEL = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
+PARCEL_DDL = "chunk long, bucket int, blob binary"
+
+
+class _Parcels:
+    """Gathers documents with their tokens, and sends each token's low half and owner to its bucket. A chunk's own
+    table, ids and a number for each document, has a bucket below zero."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.chunk, self.held, self.size = buckets, TaskContext.get().partitionId() << 32, [], 0
+
+    def add(self, ids: np.ndarray, number: np.ndarray, tok: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((ids, number, tok, own))
+        self.size += len(tok)
+        if self.size >= FLUSH:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        ids, number, tok = (np.concatenate([x[c] for x in self.held]) for c in range(3))
+        start = np.cumsum([0, *(len(x[0]) for x in self.held[:-1])])
+        own = np.concatenate([x[3] + s for x, s in zip(self.held, start, strict=True)]).astype(np.uint32)
+        rows = [(self.chunk, -1 - self.chunk % 100003, ids.tobytes() + number.astype(np.int32).tobytes())]
+        for at, (t, o) in blocks.split(blocks.scatter(tok, self.buckets), (tok & U64(0xFFFFFFFF)).astype(np.uint32), own):
+            rows.append((self.chunk, at, t.tobytes() + o.tobytes()))
+        self.chunk, self.held, self.size = self.chunk + 1, [], 0
+        yield blocks.batch(PARCEL, *(list(x) for x in zip(*rows, strict=True)))
+
+
 def _send(k: int, num: int, den: int, buckets: int):
-    """Each set's first shingles in hash order, to the buckets of their hashes. A link shares l of them if either
-    side sends l more than it can lack; l depends on the smaller side, whence the two calls of _need."""
-    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary())])
+    """Each set's first shingles in hash order, to the buckets of their hashes. Two sets that link share l of them if
+    each side sends l more than it can lack; l grows with the size, so the least that must recur comes from the
+    smallest set that can link: hence the two calls of _need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 32
-        held: list[tuple] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal chunk, held, size
-            ids, ns = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-            tok = np.concatenate([x[2] for x in held])
-            start = np.cumsum([0, *(len(x[0]) for x in held[:-1])])
-            own = np.concatenate([x[3] + s for x, s in zip(held, start, strict=True)]).astype(np.uint32)
-            least = _need(_need(ns, num, den), num, den)
-            rows = [(-1 - chunk % 100003, chunk, ids.tobytes() + (_need(ns, num, den) - least + 1).astype(np.int32).tobytes())]
-            for at, (t, o) in blocks.split(blocks.scatter(tok, buckets), (tok & U64(0xFFFFFFFF)).astype(np.uint32), own):
-                rows.append((at, chunk, t.tobytes() + o.tobytes()))
-            chunk, held, size = chunk + 1, [], 0
-            return blocks.batch(schema, *(list(x) for x in zip(*rows, strict=True)))
-
+        out = _Parcels(buckets)
         for b in batches:
             ids = blocks.column(b, "doc_id")
             for i, j, data, off in text.slices(*text.buffers(b.column(1))):
                 g, bound = text.shingle_sets(data, off, k)
                 n = np.diff(bound)
-                lack = n - _need(n, num, den)
-                m = np.minimum(n, 2 * lack + 1)
+                m = np.minimum(n, 2 * (n - _need(n, num, den)) + 1)
                 own = np.repeat(np.arange(j - i), n)
                 first = np.arange(len(g)) - bound[own] < m[own]
-                held.append((ids[i:j], n, g[first], own[first]))
-                size += int(first.sum())
-                if size >= FLUSH:
-                    yield flush()
-        if held:
-            yield flush()
+                small = _need(n, num, den)
+                yield from out.add(ids[i:j], small - _need(small, num, den) + 1, g[first], own[first])
+        yield from out.flush()
+
+    return run, PARCEL_DDL
+
 
-    return run, "bucket int, chunk long, blob binary"
+def _send_all(buckets: int):
+    """All shingles of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Parcels(buckets)
+        for b in batches:
+            n = blocks.column(b, "n").astype(np.int64)
+            data, _ = text.buffers(b.column("tokens"))
+            yield from out.add(blocks.column(b, "doc_id"), n, np.frombuffer(data.tobytes(), U64), np.repeat(np.arange(len(n)), n))
+        yield from out.flush()
+
+    return run, PARCEL_DDL
 
 
-def _recur():
-    """Counts per document of a chunk the sent shingles that occur more than once in a bucket."""
-    schema = pa.schema([("chunk", pa.int64()), ("own", pa.int32()), ("blob", pa.binary())])
+def _recur(counts: bool):
+    """What recurs in each bucket, sent back to each chunk: a count for each document, or else (owner, token, frequency)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (at,), rows in blocks.groups(batches, "bucket"):
             blob, chunk = [x.as_buffer() for x in rows.column("blob").combine_chunks()], blocks.column(rows, "chunk")
             if at < 0:
-                yield blocks.batch(schema, chunk, [1] * len(chunk), rows.column("blob").combine_chunks())
+                yield blocks.batch(PARCEL, chunk, [at] * len(chunk), rows.column("blob").combine_chunks())
                 continue
             sizes = [x.size // 8 for x in blob]
             tok = np.concatenate([np.frombuffer(x, np.uint32, n) for x, n in zip(blob, sizes, strict=True)])
             order = np.argsort(tok)
-            cut = text.runs(tok[order])
-            more = np.empty(len(tok), bool)
-            more[order] = np.repeat(np.diff(cut) > 1, np.diff(cut))
+            length = np.diff(text.runs(tok[order]))
+            df = np.empty(len(tok), np.uint32)
+            df[order] = np.repeat(length, length)
             out, pos = [], 0
             for x, n in zip(blob, sizes, strict=True):
-                own = np.frombuffer(x, np.uint32, n, n * 4)[more[pos : pos + n]]
-                out.append(np.bincount(own).astype(np.uint32).tobytes())
+                more = df[pos : pos + n] > 1
+                own = np.frombuffer(x, np.uint32, n, n * 4)[more]
+                out.append(np.bincount(own).astype(np.uint32).tobytes() if counts else own.tobytes() + tok[pos : pos + n][more].tobytes() + df[pos : pos + n][more].tobytes())
                 pos += n
-            yield blocks.batch(schema, chunk, [0] * len(chunk), out)
+            yield blocks.batch(PARCEL, chunk, [at] * len(chunk), out)
 
-    return run, "chunk long, own int, blob binary"
+    return run, PARCEL_DDL
 
 
-def _enough(least):
-    """The documents of each chunk with enough recurring shingles."""
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, pa.Buffer]]]]:
+    """(ids, numbers, [(bucket, reply)]) of each chunk."""
+    for _, rows in blocks.groups(batches, "chunk"):
+        got = list(zip(blocks.column(rows, "bucket").tolist(), (x.as_buffer() for x in rows.column("blob").combine_chunks()), strict=True))
+        table = next(x for at, x in got if at < 0)
+        n = table.size // 12
+        yield np.frombuffer(table, np.int64, n), np.frombuffer(table, np.int32, n, 8 * n).astype(np.int64), [x for x in got if x[0] >= 0]
+
+
+def _enough():
+    """The documents of each chunk with as many recurring shingles as its table asks for."""
     schema = pa.schema([("doc_id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in blocks.groups(batches, "chunk"):
-            own, blob = blocks.column(rows, "own"), [x.as_buffer() for x in rows.column("blob").combine_chunks()]
-            table = blob[int(np.flatnonzero(own)[0])]
-            n = table.size // 12
-            ids, need = np.frombuffer(table, np.int64, n), np.frombuffer(table, np.int32, n, 8 * n)
-            got = np.zeros(n, np.int64)
-            for x, mine in zip(blob, own, strict=True):
-                if not mine:
-                    c = np.frombuffer(x, np.uint32)
-                    got[: len(c)] += c
+        for ids, need, replies in _chunks(batches):
+            got = np.zeros(len(ids), np.int64)
+            for _, x in replies:
+                c = np.frombuffer(x, np.uint32)
+                got[: len(c)] += c
             yield blocks.batch(schema, np.unique(ids[got >= need]))
 
     return run, "doc_id long"
@@ -151,18 +179,24 @@ def _full(k: int):
 
 
 def _heads(num: int, den: int, buckets: int):
-    """The shingles of each set of which a link must share one, to the buckets of their hashes."""
+    """The rarest shingles of each set, as many as it can lack of a set it links to, plus one: a link shares one of them.
+    Those that occur once come first and need not be sent; a set that has too many of them links with nothing."""
     schema = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = blocks.column(b, "n").astype(np.int64)
-            data, off = text.buffers(b.column("tokens"))
-            tok, start = np.frombuffer(data.tobytes(), U64), off[:-1] // 8
-            m = np.minimum(n, n - _need(n, num, den) + 1)
-            own = np.repeat(np.arange(len(n)), m)
-            tok = tok[start[own] + np.arange(len(own)) - np.repeat(np.cumsum(m) - m, m)]
-            rows = [(at, t.tobytes() + i.tobytes() + s.tobytes()) for at, (t, i, s) in blocks.split(blocks.scatter(tok, buckets), tok, blocks.column(b, "doc_id")[own], n[own])]
+        for ids, n, replies in _chunks(batches):
+            if not replies:
+                continue
+            sizes = [x.size // 12 for _, x in replies]
+            own, low, df = (np.concatenate([np.frombuffer(x, np.uint32, m, 4 * m * p) for (_, x), m in zip(replies, sizes, strict=True)]).astype(np.int64) for p in range(3))
+            tok = low.astype(U64) | (np.repeat([at for at, _ in replies], sizes).astype(U64) << U64(32))
+            order = np.lexsort((tok, df, own))
+            own, tok = own[order], tok[order]
+            got = np.bincount(own, minlength=len(ids))
+            rank = np.arange(len(own)) - (np.cumsum(got) - got)[own]
+            first = rank < (got - _need(n, num, den) + 1)[own]
+            own, tok = own[first], tok[first]
+            rows = [(at, t.tobytes() + i.tobytes() + s.tobytes()) for at, (t, i, s) in blocks.split(blocks.scatter(text.mix(tok), buckets), tok, ids[own], n[own])]
             if rows:
                 yield blocks.batch(schema, *(list(x) for x in zip(*rows, strict=True)))
 
@@ -264,10 +298,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     same = some.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     ids = base.where("doc_id is not null")
     sent = blocks.together(ids.mapInArrow(*_send(k, num, den, 4 * parts)), parts, "bucket")
-    hits = blocks.together(sent.mapInArrow(*_recur()), parts, "chunk").mapInArrow(*_enough(None))
+    hits = blocks.together(sent.mapInArrow(*_recur(True)), parts, "chunk").mapInArrow(*_enough())
     left = checkpoint(hits.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").distinct())
-    full = checkpoint(ids.join(left.hint("shuffle_hash"), "doc_id").mapInArrow(*_full(k)).where("n > 0"))
-    chains = blocks.together(full.mapInArrow(*_heads(num, den, 4 * parts)), parts, "bucket").mapInArrow(*_chains(num, den))
+    full = checkpoint(ids.join(blocks.small(left), "doc_id").mapInArrow(*_full(k)).where("n > 0"))
+    sent = blocks.together(full.mapInArrow(*_send_all(4 * parts)), parts, "bucket")
+    heads = blocks.together(sent.mapInArrow(*_recur(False)), parts, "chunk").mapInArrow(*_heads(num, den, 4 * parts))
+    chains = blocks.together(heads, parts, "bucket").mapInArrow(*_chains(num, den))
     near = components(chains)
     size = near.groupBy("component").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("many"))
     cells = near.join(size, "component").select(F.col("id").alias("doc_id"), "component", "many", F.expr("cast(pmod(xxhash64(id), many) as int)").alias("block"))
