@@ -83,7 +83,7 @@ class Machine:
         return z, total, x
 
 
-def train(idx: np.ndarray, bound: np.ndarray, stats: np.ndarray, y: np.ndarray, bits: int = 16, rank: int = 4, epochs: int = 14, rate: float = 0.05, l1: float = 2e-4, seed: int = 11, size: int = 128) -> Machine:
+def train(idx: np.ndarray, bound: np.ndarray, stats: np.ndarray, y: np.ndarray, bits: int = 16, rank: int = 4, epochs: int = 15, rate: float = 0.5, l1: float = 1e-3, seed: int = 11, size: int = 128) -> Machine:
     """Fit by mini-batch Adagrad on the logistic loss, with soft thresholding of the words' linear weights."""
     rng = np.random.default_rng(seed)
     d = (1 << bits) + FORM
@@ -151,7 +151,7 @@ def _extract(bits: int):
     return run, "y int, idx binary, stats binary"
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str, train_on: Column, sample: int = 6000, bits: int = 16, **how: float) -> Machine | None:
+def fit(docs: DataFrame, labels: DataFrame, target: str, train_on: Column, sample: int = 16000, bits: int = 16, **how: float) -> Machine | None:
     """A machine for labels.<target>, learnt from at most ``sample`` labelled rows for which train_on holds.
 
     The sample is the rows of smallest hash of doc_id, the same at every run. Only the sample's features, not its texts, come to
