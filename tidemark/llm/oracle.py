@@ -60,6 +60,21 @@ FROM u
 """
 
 
+OP6 = f"""
+WITH d AS (SELECT doc_id, {WORDS.format(FOLD.format("text"))} AS w FROM documents),
+w AS (SELECT doc_id, unnest(w) AS v, unnest(range(len(w))) AS i, unnest(list_prepend(NULL, w[:-2])) AS u FROM d WHERE len(w) > 0),
+t AS (SELECT count(*) AS n FROM w),
+c1 AS (SELECT v, count(*) AS c FROM w GROUP BY v), o1 AS (SELECT doc_id, v, count(*) AS c FROM w GROUP BY doc_id, v),
+c2 AS (SELECT u, v, count(*) AS c FROM w WHERE i > 0 GROUP BY u, v), o2 AS (SELECT doc_id, u, v, count(*) AS c FROM w WHERE i > 0 GROUP BY doc_id, u, v),
+s AS (SELECT w.doc_id, w.i, c2.c - o2.c AS cuv, cu.c - ou.c AS cu, cv.c - ov.c AS cv, t.n - len(d.w) AS n
+  FROM w JOIN d USING (doc_id) CROSS JOIN t JOIN c1 cv ON cv.v = w.v JOIN o1 ov ON ov.doc_id = w.doc_id AND ov.v = w.v
+  LEFT JOIN c1 cu ON cu.v = w.u LEFT JOIN o1 ou ON ou.doc_id = w.doc_id AND ou.v = w.u
+  LEFT JOIN c2 ON c2.u = w.u AND c2.v = w.v LEFT JOIN o2 ON o2.doc_id = w.doc_id AND o2.u = w.u AND o2.v = w.v),
+l AS (SELECT doc_id, CASE WHEN cuv > 0 THEN ln(cuv / cu) WHEN cv > 0 THEN ln(CASE WHEN i = 0 THEN 1.0 ELSE 0.4 END * cv / n) ELSE ln(CASE WHEN i = 0 THEN 1.0 ELSE 0.4 END / (n + 1)) END AS x FROM s)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, round(coalesce(sum(x), 0), 4) AS log_score, round(exp(-sum(x) / len(d.w)), 1) AS perplexity
+FROM d LEFT JOIN l USING (doc_id) GROUP BY d.doc_id, d.w
+"""
+
 #: Expects d(doc_id, source, size); ends in c with a row for each document.
 MIX = """
 s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
@@ -114,4 +129,4 @@ FROM t LEFT JOIN a USING (doc_id) GROUP BY t.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_pii": OP8, "op7_mixing": OP7, "op4_embedding_near_dedup": OP4, "op5_url_filters": OP5, "op3_benchmark_decontamination": OP3, "op2_ngram_jaccard_join": OP2}
+    return {"op6_lm_scoring": OP6, "op8_pii": OP8, "op7_mixing": OP7, "op4_embedding_near_dedup": OP4, "op5_url_filters": OP5, "op3_benchmark_decontamination": OP3, "op2_ngram_jaccard_join": OP2}

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, fm, jaccard, mixing, pii, urls
+from . import decontaminate, embeddings, fm, jaccard, lm, mixing, pii, repeats, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,12 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff scores of each document against the rest of the corpus."""
+    df = lm.score(table(spark, sf_dir, "documents"))
+    return df.withColumns({"log_score": F.round("log_score", 4), "perplexity": F.round("perplexity", 1)})
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from each document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -55,5 +62,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", 4, 2)
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without the 100-byte strings that occur earlier."""
+    return repeats.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
