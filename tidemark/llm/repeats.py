@@ -255,23 +255,24 @@ def _bytes(least: int, gram: int = GRAM):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         half = -(-(least - gram) // 2)
         for b in batches:
-            data, off = text.buffers(b.column("text"))
-            raw = data.tobytes()
-            doc, first, wide, back, g = (blocks.column(b, x).astype(np.int64) for x in ("doc_id", "first", "wide", "back", "gram"))
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            c, inv = text.prefix(data)
-            anchor = off[:-1] + first + back
-            for side in (0, 1):
-                lo, hi = (anchor - half, anchor + gram) if side else (anchor, anchor + gram + half)
-                fits = np.flatnonzero((lo >= off[:-1]) & (hi <= off[1:]))
-                key = text.mix((c[hi[fits]] - c[lo[fits]]) * inv[lo[fits]] + g[fits].view(U64) * text.MUL[20 + side]).view(np.int64)
-                s, e = off[:-1][fits] + first[fits], off[:-1][fits] + first[fits] + wide[fits] + least
-                out[0].extend(key.tolist())
-                out[1].extend(doc[fits].tolist())
-                out[2].extend(first[fits].tolist())
-                out[3].extend(raw[x:y] for x, y in zip(s.tolist(), e.tolist(), strict=True))
-            if out[0]:
-                yield blocks.batch(schema, *out)
+            lists = b.column("apart")
+            many = np.diff(lists.offsets.to_numpy())
+            first, wide, back, g = (lists.flatten().field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("first", "wide", "back", "gram"))
+            upto = np.concatenate([[0], np.cumsum(many)])
+            ids = blocks.column(b, "doc_id")
+            for i, j, data, off in text.slices(*text.buffers(b.column("text"))):
+                here = slice(upto[i], upto[j])
+                row = np.repeat(np.arange(j - i), many[i:j])
+                c, inv = text.prefix(data)
+                raw, begin, end = data.tobytes(), off[row], off[row + 1]
+                anchor = begin + first[here] + back[here]
+                s, e = begin + first[here], begin + first[here] + wide[here] + least
+                for side in (0, 1):
+                    lo, hi = (anchor - half, anchor + gram) if side else (anchor, anchor + gram + half)
+                    fits = np.flatnonzero((lo >= begin) & (hi <= end))
+                    if len(fits):
+                        key = text.mix((c[hi[fits]] - c[lo[fits]]) * inv[lo[fits]] + g[here][fits].view(U64) * text.MUL[20 + side]).view(np.int64)
+                        yield blocks.batch(schema, key, ids[i:j][row[fits]], first[here][fits], [raw[x:y] for x, y in zip(s[fits].tolist(), e[fits].tolist(), strict=True)])
 
     return run, "key long, doc_id long, start long, piece binary"
 
@@ -336,7 +337,7 @@ def _plan(docs: DataFrame, least: int, whole: bool) -> tuple[DataFrame, DataFram
     sent = blocks.together(known.mapInArrow(*_send(least, 4 * parts)), parts, "bucket")
     settled = checkpoint(sent.mapInArrow(*_settle(least)))
     dealt = base.repartition(parts, "doc_id")
-    apart = settled.where("kind = 1").select("doc_id", "gram", "first", "wide", "back")
+    apart = settled.where("kind = 1").groupBy("doc_id").agg(F.collect_list(F.struct("gram", "first", "wide", "back")).alias("apart"))
     pieces = dealt.join(apart, "doc_id").mapInArrow(*_bytes(least))
     return dealt, settled, blocks.together(pieces, parts, "key").mapInArrow(*_arrays(least, whole))
 
