@@ -1,5 +1,63 @@
-"""Placeholder until the stages exist."""
-STAGES = []
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
+
+Every stage works on all that its predecessor kept. All but the last return the columns of documents; the last
+returns them with ``copy``, the number of a document's copy in the mix.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontaminate, fm, graph, jaccard, mixing, pii
+
+#: A document stays if its quality score is at least this, as op1 predicts.
+QUALITY = 0.3
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts as good. Rows with a null id are scored by their texts like others."""
+    machine = fm.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", ~fm.fold(5, 0))
+    return fm.keep(docs, machine, QUALITY)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, that of the smallest id; rows with a null id all stay."""
+    found = jaccard.classes(docs)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    one = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
+    return one.unionByName(docs.where("doc_id is null"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind, and n_chars to match; no document goes."""
+    out = pii.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources: each document as often as its source's target asks."""
+    return mixing.mix(docs)
+
+
+STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontaminated), ("PII", redacted), ("mixing sources to target weights", mixed)]
+
+#: The classifier is not SQL-expressible; tests compare the stages with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents; what each returns is written below the checkpoint folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{graph.folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs

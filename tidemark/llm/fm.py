@@ -190,6 +190,20 @@ def score(docs: DataFrame, m: Machine | None, bits: int = 16) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(*_score(m, bits))
 
 
+def _keep(m: Machine | None, bits: int, cut: float, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [m.scores(*features(data, off, bits)) for _, _, data, off in text.slices(*text.buffers(b.column(at)))] if m else []
+            yield b.filter(pa.array(np.concatenate(parts) >= cut)) if parts else b
+
+    return run
+
+
+def keep(docs: DataFrame, m: Machine | None, cut: float, bits: int = 16, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, whose score is cut or more; all rows without a machine."""
+    return docs.mapInArrow(_keep(m, bits, cut, docs.columns.index(text_col)), docs.schema)
+
+
 def fold(modulus: int, rest: int) -> Column:
     """Whether doc_id is held out: crc32 of its decimal text leaves this remainder."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == rest

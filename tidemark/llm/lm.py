@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks, text
-from .graph import checkpoint, width
+from .graph import width
 
 U64 = np.uint64
 #: Characters of text in a chunk, about.
@@ -165,7 +165,7 @@ def score(docs: DataFrame, backoff: float = 0.4) -> DataFrame:
     dealt = base.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     chunked = blocks.together(dealt, min(parts, chunks) if chunks < parts else parts, "chunk")
     sent = chunked.mapInArrow(*_send(buckets))
-    counts = checkpoint(blocks.together(sent, parts, "bucket").mapInArrow(_count, SENT_DDL))
+    counts = blocks.together(sent, parts, "bucket").mapInArrow(_count, SENT_DDL)
     both = dealt.select("chunk", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("blob"), "doc_id", "text").unionByName(counts.select("chunk", "bucket", "blob", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text")))
     scored = both.repartition(parts, "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(*_score(buckets, int(whole["words"]), backoff))
     return scored.withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-F.col("log_score") / F.col("n_words"))))
