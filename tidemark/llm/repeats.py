@@ -330,21 +330,21 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield blocks.batch(schema, b.column("doc_id"), *(list(x) for x in zip(*out, strict=True)))
 
 
-def _plan(docs: DataFrame, least: int, whole: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _plan(docs: DataFrame, least: int, whole: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     parts = width(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = base.where("doc_id is not null")
     sent = blocks.together(known.mapInArrow(*_send(least, 4 * parts)), parts, "bucket")
     settled = checkpoint(sent.mapInArrow(*_settle(least)))
-    dealt = base.repartition(parts, "doc_id")
+    dealt = known.repartition(parts, "doc_id")  # one exchange of the texts serves both joins
     apart = settled.where("kind = 1").groupBy("doc_id").agg(F.collect_list(F.struct("gram", "first", "wide", "back")).alias("apart"))
     pieces = dealt.join(apart, "doc_id").mapInArrow(*_bytes(least))
-    return dealt, settled, blocks.together(pieces, parts, "key").mapInArrow(*_arrays(least, whole))
+    return dealt, base.where("doc_id is null"), settled, blocks.together(pieces, parts, "key").mapInArrow(*_arrays(least, whole))
 
 
 def groups(docs: DataFrame, least: int = 100) -> DataFrame:
     """(length, doc_ids, starts): the maximal repeats around which stretches differ, each with all its occurrences."""
-    return _plan(docs, least, True)[2]
+    return _plan(docs, least, True)[3]
 
 
 def dedup(docs: DataFrame, least: int = 100) -> DataFrame:
@@ -355,10 +355,11 @@ def dedup(docs: DataFrame, least: int = 100) -> DataFrame:
     is neither cut nor compared; rows that share a doc_id are not told apart, so ids should be unique. Equal hashes
     of 64 bits are taken for equal stretches. docs must be deterministic.
     """
-    dealt, settled, found = _plan(docs, least, False)
+    dealt, lost, settled, found = _plan(docs, least, False)
     spans = settled.where("kind = 0").select("doc_id", F.col("first").alias("start"), (F.col("first") + F.col("wide")).alias("stop")).unionByName(found)
     listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return dealt.join(listed, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    cut = dealt.join(listed, "doc_id", "left").select("doc_id", "text", "spans")
+    return cut.unionByName(lost.withColumn("spans", F.lit(None).cast("array<struct<start:bigint,stop:bigint>>"))).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digest(docs: DataFrame, least: int = 100) -> DataFrame:
