@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks, text
-from .graph import checkpoint, width
+from .graph import width, written
 
 U64 = np.uint64
 #: Bytes of an anchor.
@@ -66,14 +66,17 @@ PARCEL = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
 
 def _pack(arrays: list[np.ndarray]) -> bytes:
-    return np.int64(len(arrays[0])).tobytes() + b"".join(np.ascontiguousarray(x, t).tobytes() for x, (_, t) in zip(arrays, FIELDS, strict=True))
+    gram = arrays[0]  # 40 bits of it, after its bucket: that is for meeting alone, equality is for the stretch's own hash
+    return np.int64(len(gram)).tobytes() + gram.astype(np.uint32).tobytes() + (gram >> U64(32)).astype(np.uint8).tobytes() + b"".join(np.ascontiguousarray(x, t).tobytes() for x, (_, t) in zip(arrays[1:], FIELDS[1:], strict=True))
 
 
 def _unpack(blobs: list[pa.Buffer]) -> list[np.ndarray]:
     got: list[list[np.ndarray]] = [[] for _ in FIELDS]
     for blob in blobs:
-        n, pos = int(np.frombuffer(blob, np.int64, 1)[0]), 8
-        for x, (_, t) in zip(got, FIELDS, strict=True):
+        n = int(np.frombuffer(blob, np.int64, 1)[0])
+        got[0].append(np.frombuffer(blob, np.uint32, n, 8).astype(U64) | (np.frombuffer(blob, np.uint8, n, 8 + 4 * n).astype(U64) << U64(32)))
+        pos = 8 + 5 * n
+        for x, (_, t) in zip(got[1:], FIELDS[1:], strict=True):
             x.append(np.frombuffer(blob, t, n, pos))
             pos += n * np.dtype(t).itemsize
     return [np.concatenate(x) for x in got]
@@ -120,7 +123,7 @@ def _send(least: int, buckets: int):
 
 def _settle(least: int):
     """What hashes settle: spans that repeat, as kind 0, and the stretches whose bytes are needed, as kind 1."""
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("gram", pa.int64()), ("first", pa.int64()), ("wide", pa.int32()), ("back", pa.int32())])
+    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("first", pa.int64()), ("wide", pa.int32()), ("back", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (at,), rows in blocks.groups(batches, "bucket"):
@@ -137,10 +140,10 @@ def _settle(least: int):
             d, a, e = cols[2][same], cols[3][same], cols[3][same] + cols[4][same] + least
             d, a, e = joined(d, a, e)
             n, m = len(d), int(apart.sum())
-            g, doc, first, wide, back = (cols[c][apart] for c in (0, 2, 3, 4, 5))
-            yield blocks.batch(schema, np.repeat(np.int32([0, 1]), [n, m]), np.concatenate([d, doc]), np.concatenate([np.zeros(n, np.int64), g.view(np.int64)]), np.concatenate([a, first]), np.concatenate([e - a, wide]).astype(np.int32), np.concatenate([np.zeros(n, np.int32), back]).astype(np.int32))
+            doc, first, wide, back = (cols[c][apart] for c in (2, 3, 4, 5))
+            yield blocks.batch(schema, np.repeat(np.int32([0, 1]), [n, m]), np.concatenate([d, doc]), np.concatenate([a, first]), np.concatenate([e - a, wide]).astype(np.int32), np.concatenate([np.zeros(n, np.int32), back]).astype(np.int32))
 
-    return run, "kind int, doc_id long, gram long, first long, wide int, back int"
+    return run, "kind int, doc_id long, first long, wide int, back int"
 
 
 def joined(d: np.ndarray, a: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -257,7 +260,7 @@ def _bytes(least: int, gram: int = GRAM):
         for b in batches:
             lists = b.column("apart")
             many = np.diff(lists.offsets.to_numpy())
-            first, wide, back, g = (lists.flatten().field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("first", "wide", "back", "gram"))
+            first, wide, back = (lists.flatten().field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("first", "wide", "back"))
             upto = np.concatenate([[0], np.cumsum(many)])
             ids = blocks.column(b, "doc_id")
             for i, j, data, off in text.slices(*text.buffers(b.column("text"))):
@@ -271,7 +274,7 @@ def _bytes(least: int, gram: int = GRAM):
                     lo, hi = (anchor - half, anchor + gram) if side else (anchor, anchor + gram + half)
                     fits = np.flatnonzero((lo >= begin) & (hi <= end))
                     if len(fits):
-                        key = text.mix((c[hi[fits]] - c[lo[fits]]) * inv[lo[fits]] + g[here][fits].view(U64) * text.MUL[20 + side]).view(np.int64)
+                        key = text.mix((c[hi[fits]] - c[lo[fits]]) * inv[lo[fits]] + text.MUL[20 + side]).view(np.int64)
                         yield blocks.batch(schema, key, ids[i:j][row[fits]], first[here][fits], [raw[x:y] for x, y in zip(s[fits].tolist(), e[fits].tolist(), strict=True)])
 
     return run, "key long, doc_id long, start long, piece binary"
@@ -335,9 +338,9 @@ def _plan(docs: DataFrame, least: int, whole: bool) -> tuple[DataFrame, DataFram
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = base.where("doc_id is not null")
     sent = blocks.together(known.mapInArrow(*_send(least, 4 * parts)), parts, "bucket")
-    settled = checkpoint(sent.mapInArrow(*_settle(least)))
+    settled = written(sent.mapInArrow(*_settle(least)))
     dealt = known.repartition(parts, "doc_id")  # one exchange of the texts serves both joins
-    apart = settled.where("kind = 1").groupBy("doc_id").agg(F.collect_list(F.struct("gram", "first", "wide", "back")).alias("apart"))
+    apart = settled.where("kind = 1").groupBy("doc_id").agg(F.collect_list(F.struct("first", "wide", "back")).alias("apart"))
     pieces = dealt.join(apart, "doc_id").mapInArrow(*_bytes(least))
     return dealt, base.where("doc_id is null"), settled, blocks.together(pieces, parts, "key").mapInArrow(*_arrays(least, whole))
 
