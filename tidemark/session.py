@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 #: UTC makes instants and local times agree; ANSI mode makes failed casts and overflows raise.
@@ -16,3 +18,8 @@ def session(app: str = "tidemark", master: str | None = None, **conf: str) -> Sp
     for k, v in (PINNED | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-")
