@@ -80,11 +80,27 @@ def _by(chunk: Chunk, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarra
         yield at, pos, low, many
 
 
+def _pack_counts(x: np.ndarray, usual: int) -> bytes:
+    """A bit for each count that is not the usual one, then a byte for each of those, then those over 254."""
+    v = x[x != usual]
+    return np.packbits(x != usual).tobytes() + np.where(v > 254, 255, v).astype(np.uint8).tobytes() + v[v > 254].astype(np.int64).tobytes()
+
+
+def _unpack_counts(raw: np.ndarray, n: int, usual: int) -> np.ndarray:
+    bits = -(-n // 8)
+    odd = np.unpackbits(raw[:bits], count=n).astype(bool)
+    k = bits + int(odd.sum())
+    v = raw[bits:k].astype(np.int64)
+    v[v == 255] = np.frombuffer(raw[k:].tobytes(), np.int64)
+    x = np.full(n, usual, np.int64)
+    x[odd] = v
+    return x
+
+
 def _pack(low: np.ndarray, many: np.ndarray) -> bytes:
-    """Five bytes a hash and one a count; counts over 254 follow as a list."""
-    large = many > 254
+    """Five bytes a hash, then the counts."""
     five = low.view(np.uint8).reshape(-1, 8)[:, :5]
-    return np.int64(len(low)).tobytes() + np.ascontiguousarray(five.T).tobytes() + np.where(large, 255, many).astype(np.uint8).tobytes() + many[large].astype(np.int64).tobytes()
+    return np.int64(len(low)).tobytes() + np.ascontiguousarray(five.T).tobytes() + _pack_counts(many, 1)
 
 
 def _unpack(blob: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
@@ -92,9 +108,7 @@ def _unpack(blob: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
     n = int(raw[:8].view(np.int64)[0])
     low = np.zeros((n, 8), np.uint8)
     low[:, :5] = raw[8 : 8 + 5 * n].reshape(5, n).T
-    many = raw[8 + 5 * n : 8 + 6 * n].astype(np.int64)
-    many[many == 255] = np.frombuffer(raw[8 + 6 * n :].tobytes(), np.int64)
-    return low.reshape(-1).view(U64), many
+    return low.reshape(-1).view(U64), _unpack_counts(raw[8 + 5 * n :], n, 1)
 
 
 def _send(buckets: int):
@@ -108,7 +122,7 @@ def _send(buckets: int):
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The count table's partition: sums over chunks, joined back to each chunk's n-grams. Counts of one chunk alone are not sent."""
+    """The count table's partition: sums over chunks, joined back to each chunk's n-grams."""
     for (at,), rows in blocks.groups(batches, "bucket"):
         got = [_unpack(x.as_buffer()) for x in rows.column("blob").combine_chunks()]
         low = np.concatenate([x[0] for x in got])
@@ -120,9 +134,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole[order] = np.repeat(total, np.diff(cut))
         extra, pos, out = whole - many, 0, []
         for lows, _ in got:
-            x = extra[pos : pos + len(lows)]
-            large = x > 254
-            out.append(np.where(large, 255, x).astype(np.uint8).tobytes() + x[large].tobytes())
+            out.append(_pack_counts(extra[pos : pos + len(lows)], 0))
             pos += len(lows)
         yield blocks.batch(SENT, blocks.column(rows, "chunk").astype(np.int32), [at] * len(out), out)
 
@@ -138,10 +150,7 @@ def _score(buckets: int, total: int, backoff: float):
             chunk = Chunk(docs.column("text"))
             whole = np.concatenate([chunk.words, chunk.pairs])
             for at, pos, _, _ in _by(chunk, buckets):
-                raw = np.frombuffer(replies[at], np.uint8)
-                x = raw[: len(pos)].astype(np.int64)
-                x[x == 255] = np.frombuffer(raw[len(pos) :].tobytes(), np.int64)
-                whole[pos] += x
+                whole[pos] += _unpack_counts(np.frombuffer(replies[at], np.uint8), len(pos), 0)
             n, s = chunk.scores(whole[: len(chunk.words)], whole[len(chunk.words) :], total, backoff)
             yield blocks.batch(schema, docs.column("doc_id").combine_chunks(), n, s)
 
