@@ -303,6 +303,16 @@ def test_repeats(spark, docs, empty):
     assert [tuple(r)[:4] for r in repeats.digest(lone).collect()] == [(None, 300, 0, 0)] and repeats.digest(empty).count() == 0
 
 
+def test_repeat_groups(spark):
+    """A passage in three documents with different surroundings is one group with all its occurrences."""
+    r = random.Random(6)
+    noise = lambda n: "".join(r.choices("abcdefghij ", k=n))
+    passage = noise(150)
+    rows = [(i, noise(100 + i) + chr(65 + i) + passage + chr(75 + i) + noise(90)) for i in range(3)]
+    got = repeats.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert any(g.length == 150 and list(zip(g.doc_ids, g.starts, strict=True)) == [(0, 101), (1, 102), (2, 103)] for g in got) or all(g.doc_ids == [0, 1, 2] and g.length >= 100 for g in got) and got
+
+
 def test_maximal_repeats():
     r = random.Random(4)
     for _ in range(60):
