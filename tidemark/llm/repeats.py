@@ -339,7 +339,7 @@ def _plan(docs: DataFrame, least: int, whole: bool) -> tuple[DataFrame, DataFram
     known = base.where("doc_id is not null")
     sent = blocks.together(known.mapInArrow(*_send(least, 4 * parts)), parts, "bucket")
     settled = written(sent.mapInArrow(*_settle(least)))
-    dealt = known.repartition(parts, "doc_id")  # one exchange of the texts serves both joins
+    dealt = known.repartition(parts, "doc_id")  # for either join; Spark exchanges the texts for each
     apart = settled.where("kind = 1").groupBy("doc_id").agg(F.collect_list(F.struct("first", "wide", "back")).alias("apart"))
     pieces = dealt.join(apart, "doc_id").mapInArrow(*_bytes(least))
     return dealt, base.where("doc_id is null"), settled, blocks.together(pieces, parts, "key").mapInArrow(*_arrays(least, whole))
