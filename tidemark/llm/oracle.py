@@ -107,7 +107,7 @@ def _spans(kind: str, rank: int, pattern: str, ok: str) -> str:
 
 _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
 _LUHN = f"len({_DIGITS}) BETWEEN 14 AND 19 AND list_sum([CASE WHEN i % 2 = 0 THEN [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][CAST(reverse({_DIGITS})[i] AS INTEGER) + 1] ELSE CAST(reverse({_DIGITS})[i] AS INTEGER) END FOR i IN range(1, len({_DIGITS}) + 1)]) % 10 = 0"
-_SSN_SCORE = "0.3 + CASE WHEN regexp_matches(near, '(?i)\b(ssn|social|security)\b') THEN 0.4 ELSE 0 END - CASE WHEN regexp_matches(near, '(?i)\b(example|sample|version|test|isbn|order)\b') THEN 0.3 ELSE 0 END >= 0.6"
+_SSN_SCORE = r"0.3 + CASE WHEN regexp_matches(near, '(?i)\b(ssn|social|security)\b') THEN 0.4 ELSE 0 END - CASE WHEN regexp_matches(near, '(?i)\b(example|sample|version|test|isbn|order)\b') THEN 0.3 ELSE 0 END >= 0.6"
 _MOVED = "substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4)"
 _MOD97 = f"list_reduce(list_prepend(0, [CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END FOR c IN string_split({_MOVED}, '')]), lambda a, c: CASE WHEN c < 10 THEN (a * 10 + c) % 97 ELSE (a * 100 + c) % 97 END) = 1"
 _IBAN_SCORE = _SSN_SCORE.replace("0.3 + ", "0.8 + ").replace("ssn|social|security", "iban|account|bank|transfer")
