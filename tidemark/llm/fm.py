@@ -1,8 +1,9 @@
 """Factorisation machines over hashed words and structure statistics, for quality and for toxicity.
 
 A score is sigmoid(b + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j); the pairwise term is computed in linear
-time as half of (sum v_i x_i)^2 - sum v_i^2 x_i^2. Features are the distinct words of the whole text, hashed,
-and numbers on its form. Training takes a bounded, documented sample of labelled rows; scoring takes every row.
+time as half of (sum v_i x_i)^2 - sum v_i^2 x_i^2. Features are the distinct words of the whole text and their
+stems, hashed, and numbers on its form. A stem is a word's first bytes: it carries what is learnt of some forms of an
+inflected word over to those that no labelled row holds. Training takes a bounded, documented sample of labelled rows; scoring takes every row.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ _kind[[ord(c) for c in ".,;:?'\"-()"]] = 6
 _kind[[ord(c) for c in "!#$%&*|<>{}[]\\^~_=+@/`"]] = 7
 _kind[10] = 8
 FORM = 16
+#: Bytes of a word's stems; a word that is no longer is its own stem.
+STEMS = (4, 6)
 
 
 def form(data: np.ndarray, off: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray, distinct: np.ndarray) -> np.ndarray:
@@ -44,11 +47,13 @@ def form(data: np.ndarray, off: np.ndarray, row: np.ndarray, start: np.ndarray,
 
 
 def features(data: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(indices, bounds, form): the distinct hashed words of each row, and its statistics."""
+    """(indices, bounds, form): the distinct hashed words and stems of each row, and its statistics."""
     h, row, start, end = text.words(data, off)
     rows = len(off) - 1
-    g, bound = text.sets((h >> U64(64 - bits)), row, rows)
-    return g.astype(np.int64), bound, form(data, off, row, start, end, np.diff(bound))
+    distinct = np.diff(text.sets(h, row, rows)[1])
+    terms = np.stack([h, *(text.starts(data, start, end, k) for k in STEMS)], axis=1).ravel()
+    g, bound = text.sets(terms >> U64(64 - bits), np.repeat(row, 1 + len(STEMS)), rows)
+    return g.astype(np.int64), bound, form(data, off, row, start, end, distinct)
 
 
 @dataclass
@@ -71,7 +76,7 @@ class Machine:
         x = 1 / np.sqrt(np.maximum(n, 1))
         base = 1 << self.bits
         zero = np.zeros((1, self.v.shape[1]), np.float64)
-        # each word counts 1 in the linear part, where few words decide, and 1 / sqrt(n) in the pairwise part
+        # each term counts 1 in the linear part, where few words decide, and 1 / sqrt(n) in the pairwise part
         lin = np.concatenate([[0.0], np.cumsum(self.w[idx], dtype=np.float64)])
         s = np.concatenate([zero, np.cumsum(self.v[idx], axis=0, dtype=np.float64)])
         q = np.concatenate([zero, np.cumsum(self.v[idx] ** 2, axis=0, dtype=np.float64)])
@@ -83,8 +88,8 @@ class Machine:
         return z, total, x
 
 
-def train(idx: np.ndarray, bound: np.ndarray, stats: np.ndarray, y: np.ndarray, bits: int = 16, rank: int = 4, epochs: int = 15, rate: float = 0.5, l1: float = 1e-3, seed: int = 11, size: int = 128) -> Machine:
-    """Fit by mini-batch Adagrad on the logistic loss, with soft thresholding of the words' linear weights."""
+def train(idx: np.ndarray, bound: np.ndarray, stats: np.ndarray, y: np.ndarray, bits: int = 18, rank: int = 4, epochs: int = 12, rate: float = 0.5, l1: float = 2e-3, seed: int = 11, size: int = 128) -> Machine:
+    """Fit by mini-batch Adagrad on the logistic loss, with soft thresholding of the terms' linear weights."""
     rng = np.random.default_rng(seed)
     d = (1 << bits) + FORM
     m = Machine(bits, 0.0, np.zeros(d, np.float32), rng.normal(0, 0.01, (d, rank)).astype(np.float32))
@@ -92,16 +97,17 @@ def train(idx: np.ndarray, bound: np.ndarray, stats: np.ndarray, y: np.ndarray,
     base, n = 1 << bits, len(y)
     p = (y.sum() + 1) / (n + 2)
     m.b = float(np.log(p / (1 - p)))
-    # words of a single training row cannot generalise: they are left out of the fit
+    # terms of one or two training rows cannot generalise: they are left out of the fit
     df = np.bincount(idx, minlength=base)
     keep = df[idx] >= 3
     bound = np.concatenate([[0], np.cumsum(keep)])[bound]
     idx = idx[keep]
     for epoch in range(epochs):
         order = rng.permutation(n)
-        step = rate / (1 + 0.15 * epoch)
         lost = 0.0
         for at in range(0, n, size):
+            # steps shrink to nothing, so that no late long text leaves its terms out of balance
+            step = rate * (1 - (epoch + at / n) / epochs)
             rows = np.sort(order[at : at + size])
             cnt = (bound[rows + 1] - bound[rows]).astype(np.int64)
             sub = np.concatenate([[0], np.cumsum(cnt)])
@@ -151,7 +157,7 @@ def _extract(bits: int):
     return run, "y int, idx binary, stats binary"
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str, train_on: Column, sample: int = 16000, bits: int = 16, **how: float) -> Machine | None:
+def fit(docs: DataFrame, labels: DataFrame, target: str, train_on: Column, sample: int = 16000, bits: int = 18, **how: float) -> Machine | None:
     """A machine for labels.<target>, learnt from at most ``sample`` labelled rows for which train_on holds.
 
     The sample is the rows of smallest hash of doc_id, the same at every run. Only the sample's features, not its texts, come to
@@ -181,7 +187,7 @@ def _score(m: Machine | None, bits: int):
     return run, "doc_id long, score double"
 
 
-def score(docs: DataFrame, m: Machine | None, bits: int = 16) -> DataFrame:
+def score(docs: DataFrame, m: Machine | None, bits: int = 18) -> DataFrame:
     """(doc_id, score) of every row of docs: the probability of label 1, from the whole text alone.
 
     Null counts as an empty text; an empty text is scored by its statistics. Without a machine, since no label exists,
@@ -199,7 +205,7 @@ def _keep(m: Machine | None, bits: int, cut: float, at: int):
     return run
 
 
-def keep(docs: DataFrame, m: Machine | None, cut: float, bits: int = 16, text_col: str = "text") -> DataFrame:
+def keep(docs: DataFrame, m: Machine | None, cut: float, bits: int = 18, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all columns, whose score is cut or more; all rows without a machine."""
     return docs.mapInArrow(_keep(m, bits, cut, docs.columns.index(text_col)), docs.schema)
 

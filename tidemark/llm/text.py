@@ -100,6 +100,13 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return h, np.searchsorted(off, start, side="right") - 1, start, end
 
 
+def starts(data: np.ndarray, start: np.ndarray, end: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the first k bytes of words(), as a word of these bytes has; shorter words keep their own hash."""
+    c, inv = prefix(data, FOLD)
+    stop = np.minimum(end, start + k)
+    return mix((c[stop] - c[start]) * inv[start] + (stop - start).astype(U64))
+
+
 def grams(h: np.ndarray, row: np.ndarray, rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of the k-word sequences in order; a row of fewer words, but not none, gives its whole sequence."""
     count = np.bincount(row, minlength=rows)
