@@ -7,10 +7,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, embeddings, fm, jaccard, lm, mixing, pii, repeats, urls
+from tidemark.llm import decontaminate, embeddings, fm, jaccard, lm, mixing, pii, repeats, text, urls
 
 SF = "/root/testdata"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -176,6 +177,14 @@ def test_classifiers(spark, docs, empty):
     assert fm.keep(docs, m, 0.0).count() == len(corpus()) and fm.keep(docs, m, 1.1).count() == 0 and fm.keep(docs, m, 0.3).columns == docs.columns
 
 
+def test_stems():
+    """A stem hashes like a word of its bytes, and inflected forms of a word share it."""
+    data, off = text.buffers(pa.array(["Lower lower, lowest low", "lowe"]))
+    h, _, start, end = text.words(data, off)
+    stem = text.starts(data, start, end, 4)
+    assert len(set(stem[[0, 1, 2, 4]].tolist())) == 1 and stem[4] == h[4] and stem[3] == h[3] and len(set(h.tolist())) == 5
+
+
 def test_machine_is_linear_time_form():
     """The sum-of-squares identity against the sum over pairs."""
     r = np.random.default_rng(2)
