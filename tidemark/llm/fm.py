@@ -26,6 +26,8 @@ _kind[[ord(c) for c in ".,;:?'\"-()"]] = 6
 _kind[[ord(c) for c in "!#$%&*|<>{}[]\\^~_=+@/`"]] = 7
 _kind[10] = 8
 FORM = 16
+#: Terms of the sample that are looked up at a time, to spare the driver wide copies.
+RUN = 1 << 20
 #: Bytes of a word's stems; a word that is no longer is its own stem.
 STEMS = (4, 6)
 
@@ -98,9 +100,10 @@ def train(idx: np.ndarray, bound: np.ndarray, stats: np.ndarray, y: np.ndarray,
     p = (y.sum() + 1) / (n + 2)
     m.b = float(np.log(p / (1 - p)))
     # terms of one or two training rows cannot generalise: they are left out of the fit
-    df = np.bincount(idx, minlength=base)
-    keep = df[idx] >= 3
-    bound = np.concatenate([[0], np.cumsum(keep)])[bound]
+    runs = range(0, len(idx), RUN)
+    df = sum((np.bincount(idx[k : k + RUN], minlength=base) for k in runs), np.zeros(base, np.int64))
+    keep = np.concatenate([np.zeros(0, bool), *(df[idx[k : k + RUN]] >= 3 for k in runs)])
+    bound = np.concatenate([[0], np.cumsum([np.count_nonzero(keep[s:e]) for s, e in zip(bound[:-1], bound[1:], strict=True)])])
     idx = idx[keep]
     for epoch in range(epochs):
         order = rng.permutation(n)
@@ -111,7 +114,7 @@ def train(idx: np.ndarray, bound: np.ndarray, stats: np.ndarray, y: np.ndarray,
             rows = np.sort(order[at : at + size])
             cnt = (bound[rows + 1] - bound[rows]).astype(np.int64)
             sub = np.concatenate([[0], np.cumsum(cnt)])
-            ii = idx[np.repeat(bound[rows] - sub[:-1], cnt) + np.arange(sub[-1])]
+            ii = idx[np.repeat(bound[rows] - sub[:-1], cnt) + np.arange(sub[-1])].astype(np.int64)
             st = stats[rows]
             z, total, x = m._raw(ii, sub, st, len(rows))
             pr = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -165,14 +168,18 @@ def fit(docs: DataFrame, labels: DataFrame, target: str, train_on: Column, sampl
     """
     lab = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(target) > 0).cast("int").alias("y")).where(train_on)
     pick = lab.orderBy(F.xxhash64("doc_id"), "y").limit(sample)
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(pick), "doc_id").select("y", "text").mapInArrow(*_extract(bits)).toPandas()
-    if not len(found):
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(pick), "doc_id").select("y", "text").mapInArrow(*_extract(bits)).toArrow()
+    if not found.num_rows:
         return None
-    found["key"] = found["idx"].map(bytes) + found["stats"].map(bytes)
-    found = found.sort_values(["key", "y"], kind="stable")  # tasks end in any order
-    parts = [np.frombuffer(x, np.uint32) for x in found["idx"]]
-    bound = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
-    return train(np.concatenate(parts).astype(np.int64), bound, np.stack([np.frombuffer(x, np.float32) for x in found["stats"]]), found["y"].to_numpy().astype(np.float64), bits=bits, **how)
+    # a row's features as one string, and nothing else, are held while they are put in order: tasks end in any order
+    rows = sorted((idx.as_py() + stats.as_py(), y.as_py()) for y, idx, stats in zip(*found.columns, strict=True))
+    del found
+    bound = np.concatenate([[0], np.cumsum([len(x) // 4 - FORM for x, _ in rows])])
+    stats = np.stack([np.frombuffer(x, np.float32, offset=len(x) - 4 * FORM) for x, _ in rows])
+    y = np.array([y for _, y in rows], np.float64)
+    idx = np.frombuffer(b"".join(memoryview(x)[: -4 * FORM] for x, _ in rows), np.uint32)
+    del rows
+    return train(idx, bound, stats, y, bits=bits, **how)
 
 
 def _score(m: Machine | None, bits: int):
