@@ -116,6 +116,17 @@ def test_decontaminate(spark, docs, empty, limit):
     assert decontaminate.clean(docs, df).columns == docs.columns
 
 
+@pytest.mark.parametrize("limit", [1 << 25, 1])
+def test_clean_by_row(spark, limit):
+    """Each row stands by its own text, whatever its id: null and repeated ids, one of each contaminated; items in one, and in three passes."""
+    items = spark.createDataFrame([(i, f"item {i} one two three four five six") for i in range(3)], "item_id long, text string")
+    rows = [(None, "so item 0 one two three four five six it is", "a"), (None, "a clean text", "b"), (None, None, "c"), (7, "item 2 one two three four five six", "d"), (7, "another clean text of that id", "e"), (8, "item 1 one two three four five six", "f"), (9, "", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    how = {} if limit > 1 else {"pass_bytes": limit}
+    got = decontaminate.clean(docs, items, **how).collect()
+    assert sorted(r.source for r in got) == ["b", "c", "e", "g"] and {tuple(r) for r in got} <= set(rows)
+
+
 def vectors():
     r = np.random.default_rng(5)
     rows = []

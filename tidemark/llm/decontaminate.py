@@ -8,6 +8,7 @@ shingles.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks, text
+from .graph import folder
 
 U64 = np.uint64
 #: Bytes of item texts that are searched for in one pass over the documents; more items take more passes.
@@ -77,45 +79,70 @@ def _searcher(index: Index, k: int):
     return run, "doc_id long, item_id long, n_shared long, n_item long"
 
 
-def matches(docs: DataFrame, items: DataFrame, k: int = 5, num: int = 75, den: int = 100, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """(doc_id, item_id, n_shared, n_item) for each document that holds num / den or more of an item's shingles.
+def _cleaner(index: Index, k: int, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            stays = np.ones(b.num_rows, bool)
+            for i, _, data, off in text.slices(*text.buffers(b.column(at))):
+                stays[i + index.search(*text.shingle_sets(data, off, k))[0]] = False
+            yield b.filter(pa.array(stays))
 
-    docs has doc_id and text, items has item_id and text; other columns are not read. Items without words match
-    nothing, items of fewer than k words match documents that consist of the same words; null ids of documents are
-    returned as null, items with a null id or text are left out. Repeated rows match once each. Items go to the
-    executors in passes of at most pass_bytes of text (an item longer than that has a pass of its own), so memory is
-    bounded for any number of items; only the passes grow.
-    """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    # A pass takes the items of one range of running byte totals, which toLocalIterator streams in order.
-    own = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text")
-    passes: list[DataFrame] = []
+    return run
+
+
+def _indexes(items: DataFrame, k: int, num: int, den: int, pass_bytes: int) -> Iterator[Index]:
+    """An index for each pass: items in order of id, of at most pass_bytes of text together."""
     ids: list[int] = []
     texts: list[str] = []
     size = 0
-
-    def close() -> None:
-        nonlocal ids, texts, size
-        index = Index(ids, texts, k, num, den)
-        passes.append(base.mapInArrow(*_searcher(index, k)))
-        ids, texts, size = [], [], 0
-
+    # A pass takes the items of one range of running byte totals, which toLocalIterator streams in order.
+    own = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text")
     for row in own.toLocalIterator():
         n = len(row.text.encode())
         if ids and size + n > pass_bytes:
-            close()
+            yield Index(ids, texts, k, num, den)
+            ids, texts, size = [], [], 0
         ids.append(row.item_id)
         texts.append(row.text)
         size += n
-    if ids or not passes:
-        close()
-    out = passes[0]
+    if ids:
+        yield Index(ids, texts, k, num, den)
+
+
+def matches(docs: DataFrame, items: DataFrame, k: int = 5, num: int = 75, den: int = 100, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """(doc_id, item_id, n_shared, n_item) for each document that holds num / den or more of an item's shingles.
+
+    docs has doc_id and text, items has item_id and text; other columns are not read. Items without words match
+    nothing, items of fewer than k words match documents that consist of the same words; null ids of documents are
+    returned as null, items with a null id or text are left out. Repeated rows match once each. Items go to the
+    executors in passes of at most pass_bytes of text (an item longer than that has a pass of its own), so memory is
+    bounded for any number of items; only the passes grow.
+    """
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    passes = [base.mapInArrow(*_searcher(index, k)) for index in _indexes(items, k, num, den, pass_bytes)]
+    out = passes[0] if passes else base.mapInArrow(*_searcher(Index([], [], k, num, den), k))
     for p in passes[1:]:
         out = out.unionByName(p)
     return out
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the documents that contain an item; documents with a null id are kept unless they match."""
-    hit = matches(docs, items).select("doc_id").distinct()
-    return docs.join(hit.select(F.col("doc_id").alias("_hit")), F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+def clean(docs: DataFrame, items: DataFrame, k: int = 5, num: int = 75, den: int = 100, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """The rows of docs, with all columns, whose own text contains no item as ``matches`` finds them; null and repeated ids count for nothing.
+
+    A single pass is a filter without a shuffle. Where items take several, what a pass leaves is written to the shared
+    folder for the next, so that a task holds the index of one pass alone; two such tables exist at most.
+    """
+    out, at, path = docs, docs.columns.index("text"), None
+    indexes = _indexes(items, k, num, den, pass_bytes)
+    index = next(indexes, None)
+    while index:
+        out, index = out.mapInArrow(_cleaner(index, k, at), docs.schema), next(indexes, None)
+        if index:
+            gone, path = path, f"{folder(docs.sparkSession)}/table-{uuid.uuid4().hex}"
+            out.write.parquet(path)
+            out = docs.sparkSession.read.schema(docs.schema).parquet(path)
+            if gone:
+                jvm = docs.sparkSession.sparkContext._jvm
+                old = jvm.org.apache.hadoop.fs.Path(gone)
+                old.getFileSystem(docs.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+    return out
