@@ -268,6 +268,26 @@ def test_mixing(spark, docs, empty, monkeypatch, run):
     assert mixing.mix(docs).count() == sum(r.copies for r in rows) and mixing.copies(empty).count() == 0
 
 
+@pytest.mark.parametrize("run", [50_000, 7, 2])
+def test_mixing_order(spark, monkeypatch, run):
+    """Runs of any size take the documents that the order of the SQL, by size and doc_id, takes."""
+    monkeypatch.setattr(mixing, "RUN", run)
+    r = random.Random(5)
+    ids = [*r.sample(range(1 << 40), 60), *r.sample(range(-50, 50), 60), None]
+    rows = [(i, f"{s} " * r.choice([3, 3, 3, 4]), s) for i, s in zip(ids, r.choices(["a", "b", "c", None], k=len(ids)), strict=True)]
+    rows += [(i, "one", "d") for i in (4, 4, 4, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.copies(docs).collect()
+    assert len(got) == len(rows)
+    for s in ("a", "b", "c", "d", None):
+        mine = sorted((x for x in got if x.source == s), key=lambda x: (x.size, x.doc_id is None, x.doc_id or 0))
+        rate, offset = mine[0].target / mine[0].source_size, int(hashlib.md5(f"17:{s or ''}".encode()).hexdigest()[:5], 16) / (1 << 20)
+        want = [math.floor(k * rate + offset) - math.floor((k - 1) * rate + offset) for k in range(1, len(mine) + 1)]
+        key = lambda x: (x[0], str(x[1]), x[2])
+        assert sorted(((x.size, x.doc_id, x.copies) for x in mine), key=key) == sorted(((x.size, x.doc_id, n) for x, n in zip(mine, want, strict=True)), key=key) or s == "d"
+        assert sorted(x.copies for x in mine) == sorted(want)
+
+
 BASE = {"email": rb"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": rb"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": rb"[0-9]([\x20-]?[0-9])+", "phone": rb"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import small
 from .graph import checkpoint
 
 #: Documents of one source and size that one task ranks, about.
@@ -36,16 +37,41 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     return df.select("source", "source_size", F.when(F.col("water").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("water") * F.col("weight"))).alias("target"))
 
 
+def _run(cuts: str) -> F.Column:
+    """The run of a doc_id: how many of the ascending cuts it reaches, one more for null. Of k cuts, about 2 sqrt(k) are compared."""
+    step = f"cast(ceil(sqrt(size({cuts}))) as int)"
+    coarse = f"size(filter(transform(sequence(1, cast(size({cuts}) / {step} as int)), i -> {cuts}[i * {step} - 1]), c -> c <= doc_id))"
+    fine = f"size(filter(slice({cuts}, {coarse} * {step} + 1, {step}), c -> c <= doc_id))"
+    return F.expr(f"case when {cuts} is null then 0 when doc_id is null then size({cuts}) + 1 when size({cuts}) = 0 then 0 else {coarse} * {step} + {fine} end")
+
+
+def _dealt(keyed: DataFrame, most_runs: int) -> DataFrame:
+    """keyed with _run, the range of doc_id within a source and size, and _ahead, the documents of earlier runs.
+
+    Cuts are approximate quantiles, kept before use since they need not be the same twice; counts of the runs are exact.
+    """
+    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))
+    hot = keyed.where("_runs > 1").groupBy("source", "size").agg(F.max("_runs").alias("_n"), F.percentile_approx("doc_id", [k / most_runs for k in range(1, most_runs)], max(10_000, 20 * most_runs)).alias("_all"))
+    cuts = F.expr(f"array_sort(array_distinct(transform(sequence(1, _n - 1), i -> _all[cast(ceil(i * {most_runs} / _n) as int) - 1])))")
+    hot = checkpoint(hot.select(F.col("source").alias("_source"), F.col("size").alias("_size"), F.coalesce(cuts, F.array().cast("array<bigint>")).alias("_cuts")))
+    keyed = keyed.join(F.broadcast(hot), same, "left").drop("_source", "_size").withColumn("_run", _run("_cuts")).drop("_cuts")
+    runs = keyed.where("_runs > 1").groupBy("source", "size", "_run").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("source", "size").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = checkpoint(runs.select(F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("_run").alias("_of"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("_ahead")))
+    return keyed.join(small(runs), same & (F.col("_run") == F.col("_of")), "left").drop("_source", "_size", "_of").withColumn("_ahead", F.coalesce("_ahead", F.lit(0)))
+
+
 def copies(docs: DataFrame, seed: int = 17, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (5, 2, 1), sized: bool = False) -> DataFrame:
     """docs with size, source_size, target, copies and taken.
 
-    Every document of a source is expected target / source_size times. Within a source, in order of size, of the hash run where a size has several, and of doc_id, the
+    Every document of a source is expected target / source_size times. Within a source, in order of size and of doc_id, nulls last, the
     expectations are summed, one offset drawn from the seed and the source is added, and a document is emitted once for each integer that
     its own part of the sum crosses. In this order each stretch of similar sizes gets its share, so words come near
     the target. No document gets more than ``most`` copies, rounded up.
 
     Sums are found in three steps, none of which brings a source together in one task: over the sizes of a source, over
-    the hash runs of a size, and over the documents of a run. Null texts have size 0, null sources are one source,
+    the runs of a size, which are ranges of doc_id (a whole number) cut at about every RUN documents, and over the documents of a run.
+    Where the cuts fall does not change the order. Rows of one source, size and doc_id, null too, share a run, whatever their number. Null texts have size 0, null sources are one source,
     null and repeated ids are ranked like others; the same rows give the same result at every run. With ``sized``, docs has its sizes already and text is not read. The new columns
     replace columns of these names; docs is read more than once and must be deterministic.
     """
@@ -57,13 +83,10 @@ def copies(docs: DataFrame, seed: int = 17, share: float = 1.5, most: float = 2.
     of_size = of_size.join(F.broadcast(goal) if goal.limit(100_001).count() <= 100_000 else goal, sized["source"].eqNullSafe(goal["source"])).drop(goal["source"]).drop("n")
     keyed = base.drop("source_size", "target", "copies", "taken")
     keyed = keyed.join(of_size.withColumnsRenamed({"source": "_source", "size": "_size"}), F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))).drop("_source", "_size")
-    keyed = keyed.withColumn("_run", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("_runs")))
-    runs = keyed.where("_runs > 1").groupBy("source", "size", "_run").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("source", "size").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select(F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("_run").alias("_of"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("_ahead"))
-    ranked = keyed.join(runs, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("_run") == F.col("_of")), "left").drop("_source", "_size", "_of")
+    most_runs = -(-(sized.agg(F.max("n")).first()[0] or 1) // RUN)
+    ranked = _dealt(keyed, most_runs) if most_runs > 1 else keyed.withColumns({"_run": F.lit(0), "_ahead": F.lit(0)})
     own = Window.partitionBy("source", "size", "_run").orderBy(F.col("doc_id").asc_nulls_last())
-    rank = F.col("_before") + F.coalesce("_ahead", F.lit(0)) + F.row_number().over(own)
+    rank = F.col("_before") + F.col("_ahead") + F.row_number().over(own)
     ranked = ranked.withColumn("_rank", rank)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("")))), 1, 5), 16, 10).cast("double") / F.lit(float(1 << 20))
