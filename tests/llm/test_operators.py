@@ -353,6 +353,28 @@ def test_repeat_groups(spark):
     assert any(g.length == 150 and list(zip(g.doc_ids, g.starts, strict=True)) == [(0, 101), (1, 102), (2, 103)] for g in got) or all(g.doc_ids == [0, 1, 2] and g.length >= 100 for g in got) and got
 
 
+@pytest.mark.parametrize("hot", [100_000, 2])
+def test_repeat_groups_of_copies(spark, monkeypatch, hot):
+    """Groups list every occurrence, those in exact copies too, and cover all windows that repeat."""
+    monkeypatch.setattr(repeats, "HOT", hot, raising=False)
+    r = random.Random(8)
+    noise = lambda n: "".join(r.choices("abcdefghij ", k=n))
+    passage, copy = noise(150), noise(260)
+    texts = [copy] * 4 + [noise(90 + i) + passage + noise(95) for i in range(3)] + [noise(120)]
+    texts += texts[4:6] * 2 + [copy[:130] + noise(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = repeats.groups(df).collect()
+    covered = set()
+    for g in got:
+        places = list(zip(g.doc_ids, g.starts, strict=True))
+        string = texts[places[0][0]][places[0][1] :][: g.length]
+        assert len(string) == g.length and places == [(d, i) for d, x in enumerate(texts) for i in range(len(x)) if x.startswith(string, i)] and len(places) > 1
+        covered |= {(d, i + k) for d, i in places for k in range(g.length - 99)}
+    assert len({(g.length, *g.doc_ids, *g.starts) for g in got}) == len(got)
+    windows = Counter(x[i : i + 100] for x in texts for i in range(len(x) - 99))
+    assert covered == {(d, i) for d, x in enumerate(texts) for i in range(len(x) - 99) if windows[x[i : i + 100]] > 1}
+
+
 def test_maximal_repeats():
     r = random.Random(4)
     for _ in range(60):

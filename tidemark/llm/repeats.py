@@ -25,6 +25,8 @@ U64 = np.uint64
 GRAM = 32
 #: Stretches that a map task gathers before it sends them on, and bytes in one suffix array, about.
 FLUSH, ARRAY = 1_000_000, 1 << 20
+#: Members of one stretch that a task joins, about.
+HOT = 100_000
 
 
 def stretches(data: np.ndarray, off: np.ndarray, least: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -90,8 +92,14 @@ def _sorted(cols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.nd
     return cols, gram & np.concatenate([[False], cols[1][1:] == cols[1][:-1]]), gram
 
 
-def _send(least: int, buckets: int):
-    """Stretches to their grams' buckets. Of equal ones in a task's batch only the first is sent; the others' bytes are known to repeat."""
+def _shared(same: np.ndarray) -> np.ndarray:
+    """From whether each sorted row equals the one before it: whether it equals any other."""
+    return same | np.append(same[1:], False) if len(same) else same
+
+
+def _send(least: int, buckets: int, whole: bool):
+    """Stretches to their grams' buckets. Of equal ones in a task's batch only the first is sent; the others' bytes are known to
+    repeat. With whole, the first goes with the others too, so that none of the batch's members is missing there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -102,7 +110,7 @@ def _send(least: int, buckets: int):
             cols, same, _ = _sorted([np.concatenate(x) for x in zip(*held, strict=True)])
             rows = [(at, _pack(x)) for at, x in blocks.split(blocks.scatter(cols[0][~same], buckets), *(x[~same] for x in cols))]
             if same.any():
-                gone = [x[same] for x in cols]
+                gone = [x[_shared(same) if whole else same] for x in cols]
                 rows.append((-1 - int(gone[0][0] % U64(1 << 20)), _pack(gone)))
             held, size = [], 0
             return blocks.batch(PARCEL, *(list(x) for x in zip(*rows, strict=True)))
@@ -121,9 +129,11 @@ def _send(least: int, buckets: int):
     return run, "bucket int, blob binary"
 
 
-def _settle(least: int):
-    """What hashes settle: spans that repeat, as kind 0, and the stretches whose bytes are needed, as kind 1."""
+def _settle(least: int, whole: bool):
+    """What hashes settle: spans that repeat, as kind 0, and the stretches whose bytes are needed, as kind 1. With whole,
+    stretches that equal others come one by one as kind 2 in place of kind 0, and each has its hash."""
     schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("first", pa.int64()), ("wide", pa.int32()), ("back", pa.int32())])
+    members = schema.append(pa.field("hash", pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (at,), rows in blocks.groups(batches, "bucket"):
@@ -136,6 +146,11 @@ def _settle(least: int):
                 own = np.cumsum(~gram) - 1
                 kinds = np.add.reduceat((~same).astype(np.int64), head) if len(head) else np.zeros(0, np.int64)
                 apart = ~same & (kinds[own] > 1)
+            if whole:
+                many = same if at < 0 else _shared(same)
+                doc, first, wide, back, own = (np.concatenate([cols[c][apart], cols[c][many]]) for c in (2, 3, 4, 5, 1))
+                yield blocks.batch(members, np.repeat(np.int32([1, 2]), [int(apart.sum()), int(many.sum())]), doc, first, wide.astype(np.int32), back.astype(np.int32), own.view(np.int64))
+                continue
             # neighbouring spans of a document are joined
             d, a, e = cols[2][same], cols[3][same], cols[3][same] + cols[4][same] + least
             d, a, e = joined(d, a, e)
@@ -143,7 +158,7 @@ def _settle(least: int):
             doc, first, wide, back = (cols[c][apart] for c in (2, 3, 4, 5))
             yield blocks.batch(schema, np.repeat(np.int32([0, 1]), [n, m]), np.concatenate([d, doc]), np.concatenate([a, first]), np.concatenate([e - a, wide]).astype(np.int32), np.concatenate([np.zeros(n, np.int32), back]).astype(np.int32))
 
-    return run, "kind int, doc_id long, first long, wide int, back int"
+    return run, "kind int, doc_id long, first long, wide int, back int" + ", hash long" * whole
 
 
 def joined(d: np.ndarray, a: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -281,9 +296,24 @@ def _bytes(least: int, gram: int = GRAM):
 
 
 def _arrays(least: int, whole: bool):
-    """Suffix arrays over the pieces of keys that several share: what repeats an earlier occurrence, or with whole all repeats."""
+    """Suffix arrays over the pieces of keys that several share: what repeats an earlier occurrence, or with whole where repeats lie in which stretches."""
     spans = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
-    found = pa.schema([("length", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64()))])
+    found = pa.schema([("string", pa.int64()), ("length", pa.int64()), ("hash", pa.int64()), ("at", pa.int64())])
+
+    def links(pieces: list[bytes]) -> pa.RecordBatch:
+        """Each repeat's own hash, and where it lies in which distinct stretches; those in one alone are the stretch itself."""
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        bound = np.cumsum([0, *map(len, pieces)])
+        c, inv = text.prefix(data)
+        of = lambda a, z: text.mix((c[z] - c[a]) * inv[a] + (z - a - least).astype(U64) * text.MUL[60]).view(np.int64)
+        own = of(bound[:-1], bound[1:])
+        rows = []
+        for n, o in maximal_repeats(pieces, [(k, 0) for k in range(len(pieces))], least):
+            places = {(int(own[k]), at) for k, at in o}
+            if len(places) > 1:
+                a = bound[o[0][0] : o[0][0] + 1] + o[0][1]
+                rows += [(int(of(a, a + n)[0]), n, h, at) for h, at in places]
+        return blocks.batch(found, *(list(x) for x in zip(*rows, strict=True))) if rows else blocks.batch(found, [], [], [], [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: list[bytes] = []
@@ -292,11 +322,14 @@ def _arrays(least: int, whole: bool):
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal pieces, starts, size
-            rows = list(maximal_repeats(pieces, starts, least)) if len(pieces) > 1 else []
-            pieces, starts, size = [], [], 0
             if whole:
-                yield blocks.batch(found, [n for n, _ in rows], [[x[0] for x in o] for _, o in rows], [[x[1] for x in o] for _, o in rows])
+                out = links(pieces) if len(pieces) > 1 else None
+                pieces, starts, size = [], [], 0
+                if out:
+                    yield out
                 return
+            rows = list(maximal_repeats(pieces, starts, least)) if len(pieces) > 1 else []
+            pieces, starts, size = [], [], 0
             later = np.array([(d, s, s + n) for n, o in rows for d, s in o[1:]], np.int64).reshape(-1, 3)
             yield blocks.batch(spans, *joined(later[:, 0], later[:, 1], later[:, 2]))
 
@@ -311,7 +344,7 @@ def _arrays(least: int, whole: bool):
                 yield from flush()
         yield from flush()
 
-    return run, "length long, doc_ids array<long>, starts array<long>" if whole else "doc_id long, start long, stop long"
+    return run, "string long, length long, hash long, at long" if whole else "doc_id long, start long, stop long"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,17 +370,37 @@ def _plan(docs: DataFrame, least: int, whole: bool) -> tuple[DataFrame, DataFram
     parts = width(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = base.where("doc_id is not null")
-    sent = blocks.together(known.mapInArrow(*_send(least, 4 * parts)), parts, "bucket")
-    settled = written(sent.mapInArrow(*_settle(least)))
+    sent = blocks.together(known.mapInArrow(*_send(least, 4 * parts, whole)), parts, "bucket")
+    settled = written(sent.mapInArrow(*_settle(least, whole)))
     dealt = known.repartition(parts, "doc_id")  # for either join; Spark exchanges the texts for each
     apart = settled.where("kind = 1").groupBy("doc_id").agg(F.collect_list(F.struct("first", "wide", "back")).alias("apart"))
     pieces = dealt.join(apart, "doc_id").mapInArrow(*_bytes(least))
     return dealt, base.where("doc_id is null"), settled, blocks.together(pieces, parts, "key").mapInArrow(*_arrays(least, whole))
 
 
+def occurrences(docs: DataFrame, least: int = 100) -> DataFrame:
+    """(string, length, doc_id, start): every occurrence of each maximal repeat within regions, a row each; string is the repeat's hash.
+
+    Suffix arrays tell where repeats lie in distinct stretches, and a stretch that several places hold is a repeat itself. All
+    members of a stretch, copies too, are then joined to what is told of it; those of a hot one are salted.
+    """
+    _, _, settled, found = _plan(docs, least, True)
+    equal = settled.where("kind = 2").groupBy("hash").agg(F.max("wide").alias("wide"), F.count("*").alias("n"))
+    alike = equal.select(F.col("hash").alias("string"), (F.col("wide") + least).cast("long").alias("length"), "hash", F.lit(0).cast("long").alias("at"))
+    hot = F.broadcast(written(equal.where(F.col("n") > HOT).select("hash", F.ceil(F.col("n") / HOT).cast("int").alias("salts"))))
+    salts = F.coalesce("salts", F.lit(1))
+    members = settled.select("hash", "doc_id", "first").join(hot, "hash", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "first"), salts)).drop("salts")
+    links = found.unionByName(alike).distinct().join(hot, "hash", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), (salts - 1).cast("long")))).drop("salts")
+    return links.join(members, ["hash", "salt"]).select("string", "length", "doc_id", (F.col("first") + F.col("at")).alias("start")).distinct()
+
+
 def groups(docs: DataFrame, least: int = 100) -> DataFrame:
-    """(length, doc_ids, starts): the maximal repeats around which stretches differ, each with all its occurrences."""
-    return _plan(docs, least, True)[3]
+    """(length, doc_ids, starts): the maximal repeats within regions, each with all its occurrences in order of document and place.
+
+    A group is one row, however large; ``occurrences`` has the same as a row for each.
+    """
+    at = F.array_sort(F.collect_list(F.struct("doc_id", "start")))
+    return occurrences(docs, least).groupBy("string", "length").agg(at.alias("at")).select("length", F.col("at.doc_id").alias("doc_ids"), F.col("at.start").alias("starts"))
 
 
 def dedup(docs: DataFrame, least: int = 100) -> DataFrame:
