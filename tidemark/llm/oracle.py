@@ -45,18 +45,20 @@ SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id =
 FROM c LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM p GROUP BY a) USING (vec_id)
 """
 
-_SITES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "allow"), ("org/es/", "block")]
+#: The contract's rules, longest first: block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/.
+_RULES = """
+    (VALUES ('example.com', '/en/7', 'allow'), ('example.net', '/de/8', 'block'), ('com', '/en/', 'block'), ('net', '/de/', 'allow'), ('org', '/es/', 'block')) AS r(rule_host, rule_path, rule_verdict)
+"""
 _WORDS = ["spam", "cheap[^a-z0-9]+pills", "pills", "casino", "viagra", "porn", "xxx", "warez", "malware", "phishing", "betting", "free[^a-z0-9]+download", "payday[^a-z0-9]+loan"]
-_FIT = "(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
-_BY_LENGTH = sorted(_SITES, key=lambda x: -len(x[0]))
-_CASES = lambda at: " ".join(f"WHEN {_FIT.format(h=r.partition('/')[0], p='/' + r.partition('/')[2])} THEN '{(r, v)[at]}'" for r, v in _BY_LENGTH)
 OP5 = f"""
 WITH u AS (SELECT page_id,
     translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages)
-SELECT page_id, host, path, CASE {_CASES(0)} END AS rule,
-    CASE {_CASES(1)} WHEN regexp_matches(host || path, '(?i)(^|[^a-z0-9])({"|".join(_WORDS)})([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END AS verdict
-FROM u
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+b AS (SELECT page_id, host, path, (SELECT [rule_host || rule_path, rule_verdict] FROM {_RULES.strip()}
+    WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) ORDER BY len(rule_host || rule_path) DESC LIMIT 1) AS r FROM u)
+SELECT page_id, host, path, r[1] AS rule,
+    CASE WHEN r IS NOT NULL THEN r[2] WHEN regexp_matches(host || path, '(?i)(^|[^a-z0-9])({"|".join(_WORDS)})([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END AS verdict
+FROM b
 """
 
 

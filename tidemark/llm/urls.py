@@ -38,7 +38,7 @@ def word(verdict: str, *literals: str) -> Rule:
     return Rule("-".join(literals), verdict, "(?i)(?:^|[^a-z0-9])" + "[^a-z0-9]+".join(literals) + "(?:[^a-z0-9]|$)", literals)
 
 
-SITES = [site("block", "com", "/en/"), site("allow", "example.com", "/en/7"), site("block", "net", "/de/"), site("allow", "example.net", "/de/8"), site("block", "org", "/es/")]
+SITES = [site("block", "com", "/en/"), site("allow", "example.com", "/en/7"), site("allow", "net", "/de/"), site("block", "example.net", "/de/8"), site("block", "org", "/es/")]
 WORDS = [word("block", *x.split()) for x in ("spam", "cheap pills", "pills", "casino", "viagra", "porn", "xxx", "warez", "malware", "phishing", "betting", "free download", "payday loan")]
 
 
