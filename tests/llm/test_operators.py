@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -175,38 +176,72 @@ def test_quantised_bounds(monkeypatch):
 
 def test_classifiers(spark, docs, empty):
     d, labels = spark.read.parquet(f"{SF}/sf0.1/documents.parquet"), spark.read.parquet(f"{SF}/sf0.1/labels.parquet")
-    for target, mod, rest, least in (("quality", 5, 0, 0.97), ("toxic", 4, 2, 0.94)):
-        out = fm.classify(d, labels, target, mod, rest)
-        assert out.count() == d.count()
-        held = out.where("held_out").join(labels, "doc_id")
-        assert held.agg(F.avg((F.col("predicted") == F.col(target)).cast("int"))).first()[0] >= least
+    truth = {r.doc_id: r for r in labels.collect()}
+    for target, mod, rest, least, recall in (("quality", 5, 0, 0.98, 0.99), ("toxic", 4, 2, 0.98, 0.9)):
+        out = fm.classify(d, labels, target, mod, rest).collect()
+        assert len(out) == d.count()
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % mod == rest) and r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for r in out)
+        held = [(r.predicted, truth[r.doc_id][target]) for r in out if r.held_out and r.doc_id in truth]
+        assert np.mean([p == y for p, y in held]) >= least and np.mean([p for p, y in held if y]) >= recall
     m = fm.fit(d, labels, "quality", ~fm.fold(5, 0), sample=500)
     got = fm.score(docs, m).collect()
     assert len(got) == len(corpus()) and all(0 <= r.score <= 1 for r in got)
     assert fm.score(empty, m).count() == 0
     assert fm.fit(d, labels.limit(0), "quality", F.lit(True)) is None and {r.score for r in fm.score(docs, None).collect()} == {0.5}
     assert fm.keep(docs, m, 0.0).count() == len(corpus()) and fm.keep(docs, m, 1.1).count() == 0 and fm.keep(docs, m, 0.3).columns == docs.columns
+    scores = sorted((r.doc_id, r.score) for r in got)
+    assert sorted(r.doc_id for r in fm.keep(docs, m, 0.3).collect()) == [i for i, x in scores if x >= 0.3]
+    assert fm.fit(d, labels, "quality", F.lit(True), sample=500, most=1000).loss != m.loss  # terms are bounded too
+
+
+def planted(n, seed):
+    """Documents that are 1 if and only if they hold alpha with gamma or beta with delta: no word tells anything by itself."""
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        a, b = r.randint(0, 1), r.randint(0, 1)
+        w = [f"w{r.randint(0, 300)}" for _ in range(25)] + [("alpha", "beta")[a], ("gamma", "delta")[b]]
+        r.shuffle(w)
+        rows.append((i, " ".join(w), int(a == b)))
+    return rows
+
+
+def test_pairs_are_learnt(spark):
+    """What only pairs of words tell is learnt, and is lost without the words' vectors; an id that many rows share counts once."""
+    rows = planted(2000, 4)
+    docs, labels = spark.createDataFrame([r[:2] for r in rows] + [(7, rows[7][1])] * 50, "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows if i < 1500], "doc_id long, toxic int")
+    m = fm.fit(docs, labels, "toxic", F.lit(True))
+    got = {r.doc_id: r.score for r in fm.score(docs, m).collect()}
+    right = lambda s: np.mean([(s[i] >= 0.5) == y for i, _, y in rows[1500:]])
+    assert right(got) >= 0.97
+    m.v[:] = 0
+    assert right({r.doc_id: r.score for r in fm.score(docs, m).collect()}) <= 0.65
+    assert fm.fit(docs.dropDuplicates(), labels.unionByName(labels), "toxic", F.lit(True)).loss == m.loss
 
 
 def test_stems():
-    """A stem hashes like a word of its bytes, and inflected forms of a word share it."""
+    """A stem hashes like a word of its bytes, inflected forms of a word share it, and punctuation around a word does not count."""
     data, off = text.buffers(pa.array(["Lower lower, lowest low", "lowe"]))
     h, _, start, end = text.words(data, off)
     stem = text.starts(data, start, end, 4)
     assert len(set(stem[[0, 1, 2, 4]].tolist())) == 1 and stem[4] == h[4] and stem[3] == h[3] and len(set(h.tolist())) == 5
+    data, off = text.buffers(pa.array(["(idiot!!) ... $$$", "Idiot", "", "é*"]))
+    idx, bound, stats = fm.features(data, off, np.array([1.0, np.nan, np.inf, 3.0]), 18)
+    assert bound.tolist() == [0, 2, 4, 4, 5] and idx[:2].tolist() == idx[2:4].tolist() and stats[:, -1].tolist() == [0, 1, 1, 0]
 
 
 def test_machine_is_linear_time_form():
     """The sum-of-squares identity against the sum over pairs."""
     r = np.random.default_rng(2)
-    m = fm.Machine(4, 0.3, r.normal(0, 1, 32).astype(np.float32), r.normal(0, 1, (32, 3)).astype(np.float32))
-    idx, stats = np.array([1, 5, 9]), r.random((1, fm.FORM)).astype(np.float32)
-    x = np.zeros(32)
-    lin = x.copy()
-    x[idx], lin[idx] = 1 / np.sqrt(3), 1
-    x[16:], lin[16:] = stats[0], stats[0]
-    z = 0.3 + lin @ m.w + sum(float(m.v[i] @ m.v[j]) * x[i] * x[j] for i in range(32) for j in range(i + 1, 32))
-    assert abs(m.scores(idx, np.array([0, 3]), stats)[0] - 1 / (1 + np.exp(-z))) < 1e-5
+    n = fm.FORM + fm.META
+    m = fm.Machine(4, 0.3, np.array([1, 5, 9, 11], np.uint32), r.normal(0, 1, 4).astype(np.float32), r.normal(0, 1, (4, 3)).astype(np.float32), r.normal(0, 1, n), r.normal(0, 1, (n, 3)))
+    idx, stats = np.array([1, 3, 5, 9]), r.random((1, n)).astype(np.float32)
+    x = np.concatenate([np.full(3, 4**-fm.DAMP), stats[0]])  # index 3 has no weights
+    w, v = np.concatenate([m.w[:3], m.stat_w]), np.concatenate([m.v[:3], m.stat_v])
+    z = 0.3 + m.w[:3].sum() + stats[0] @ m.stat_w + sum(float(v[i] @ v[j]) * x[i] * x[j] for i in range(len(w)) for j in range(i + 1, len(w)))
+    assert abs(m.scores(idx, np.array([0, 4]), stats)[0] - 1 / (1 + np.exp(-z))) < 1e-5
+    again = fm.Machine.load(m.dump())
+    assert again.scores(idx, np.array([0, 4]), stats) == m.scores(idx, np.array([0, 4]), stats)
 
 
 def test_urls(spark):
