@@ -145,7 +145,8 @@ def vectors():
 @pytest.mark.parametrize("block", [4096, 7])
 def test_embeddings(spark, monkeypatch, block):
     monkeypatch.setattr(embeddings, "BLOCK", block)
-    rows = vectors()
+    # ids that several vectors share: orthogonal ones, one of them close to another id's, and equal rows
+    rows = vectors() + [(300, [1.0, 0.0] + [0.0] * 6, 1), (300, [0.0, 1.0] + [0.0] * 6, 1), (301, [1.0, 0.01] + [0.0] * 6, 1), (302, [0.0] * 7 + [1.0], 0), (302, [0.0] * 7 + [1.0], 0), (302, [0.0] * 6 + [1.0, 0.0], 0), (None, [0.0] * 7 + [1.0], 0)]
     ok = [i is not None and v is not None and lab is not None and len(v) > 0 and all(x is not None and math.isfinite(x) for x in v) and any(v) for i, v, lab in rows]
     cos = lambda a, b: float(a @ b / (np.sqrt(a @ a) * np.sqrt(b @ b)))
     n, linked = Counter(), []

@@ -36,8 +36,8 @@ def links(x: np.ndarray, side: np.ndarray, low: float) -> Iterator[tuple[np.ndar
     x = x / np.abs(x).max(axis=1)[:, None]  # neither norms nor products leave the range of doubles
     norm = np.sqrt((x * x).sum(axis=1))
     q, scale, error = codes(x)
-    # sums of products of codes stay whole numbers in single precision up to 2**24
-    q = q.astype(np.float32 if x.shape[1] * 127 * 127 < 1 << 24 else np.float64)
+    # codes stay int8; a tile's own are widened to multiply, and sums of products stay whole numbers in single precision up to 2**24
+    wide = np.float32 if x.shape[1] * 127 * 127 < 1 << 24 else np.float64
     n, two = len(x), bool((side != side[0]).any())
     order = np.argsort(side, kind="stable")
     first = int((side == side[order[0]]).sum()) if two else 0
@@ -45,7 +45,7 @@ def links(x: np.ndarray, side: np.ndarray, low: float) -> Iterator[tuple[np.ndar
     for a, b in rows:
         for c in range(first if two else a, n, TILE):
             i, j = order[a:b], order[c : min(c + TILE, n)]
-            top = (q[i] @ q[j].T) * scale[i][:, None] * scale[j] + error[i][:, None] + (1 + error[i])[:, None] * error[j]
+            top = (q[i].astype(wide) @ q[j].T.astype(wide)) * scale[i][:, None] * scale[j] + error[i][:, None] + (1 + error[i])[:, None] * error[j]
             y, z = np.nonzero(top >= low - 1e-6)
             y, z = i[y], j[z]
             if not two:
@@ -59,7 +59,7 @@ def links(x: np.ndarray, side: np.ndarray, low: float) -> Iterator[tuple[np.ndar
 
 
 def _tiles(low: float):
-    schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("own", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, lo, hi), rows in blocks.groups(batches, "part", "lo", "hi"):
@@ -67,7 +67,7 @@ def _tiles(low: float):
             n = len(side)
             if n < 2 or (lo != hi and (side == side[0]).all()):
                 continue
-            ids, many = blocks.column(rows, "rep"), blocks.column(rows, "many")
+            ids, many, own = blocks.column(rows, "rep"), blocks.column(rows, "many"), blocks.column(rows, "own")
             flat = rows.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             forest, count, a, b = Forest(n), np.zeros(n, np.int64), [], []
             for p, r in links(flat.reshape(n, -1), side, low):
@@ -79,9 +79,9 @@ def _tiles(low: float):
                         a.append(ids[p[t]])
                         b.append(ids[r[t]])
             has = np.flatnonzero(count)
-            yield blocks.batch(schema, np.concatenate([np.zeros(len(has), np.int32), np.ones(len(a), np.int32)]), np.concatenate([ids[has], np.array(a, np.int64)]), np.concatenate([count[has], np.array(b, np.int64)]))
+            yield blocks.batch(schema, np.concatenate([np.zeros(len(has), np.int32), np.ones(len(a), np.int32)]), np.concatenate([ids[has], np.array(a, np.int64)]), np.concatenate([count[has], np.array(b, np.int64)]), np.concatenate([own[has], np.zeros(len(a), np.int64)]))
 
-    return run, "kind int, a long, b long"
+    return run, "kind int, a long, b long, own long"
 
 
 def classes(vectors: DataFrame, low: float = 0.98) -> DataFrame:
@@ -98,13 +98,14 @@ def classes(vectors: DataFrame, low: float = 0.98) -> DataFrame:
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     good = F.expr("vec_id is not null and label is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)")
     sound = base.where(good)
-    own = checkpoint(sound.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many")).withColumn("part", F.xxhash64("label", F.size("embedding"))))
+    own = checkpoint(sound.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many")).withColumns({"part": F.xxhash64("label", F.size("embedding")), "own": F.xxhash64("label", "embedding")}))
     size = own.groupBy("part").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("blocks"))
-    cells = own.join(blocks.small(checkpoint(size)), "part").withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
-    cells = cells.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("part", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "many", "embedding")
+    cells = own.join(blocks.small(checkpoint(size)), "part").withColumn("block", F.expr("cast(pmod(xxhash64(own), blocks) as int)"))
+    cells = cells.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("part", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "own", "many", "embedding")
     out = checkpoint(blocks.together(cells, parts, "part", "lo", "hi").mapInArrow(*_tiles(low)))
-    counted = out.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("more"))
-    reps = own.join(counted, "rep", "left").select("label", "embedding", "rep", (F.col("many") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+    # a vector is known by its smallest id and its hash: rows of one id may hold several vectors
+    counted = out.where("kind = 0").groupBy(F.col("a").alias("rep"), "own").agg(F.sum("b").alias("more"))
+    reps = own.join(counted, ["rep", "own"], "left").select("label", "embedding", "rep", (F.col("many") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
     known = checkpoint(sound.join(reps, ["label", "embedding"]).select("vec_id", "rep", "n_links"))
     found = components(out.where("kind = 1").select("a", "b").unionByName(known.where("vec_id <> rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))))
     rows = known.select("vec_id", "n_links").unionByName(base.where(~F.coalesce(good, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links")))

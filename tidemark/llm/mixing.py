@@ -38,11 +38,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
 
 
 def _run(cuts: str) -> F.Column:
-    """The run of a doc_id: how many of the ascending cuts it reaches, one more for null. Of k cuts, about 2 sqrt(k) are compared."""
+    """The run of a doc_id: how many of the ascending cuts it reaches; those of null follow, by the hash. Of k cuts, about 2 sqrt(k) are compared."""
     step = f"cast(ceil(sqrt(size({cuts}))) as int)"
     coarse = f"size(filter(transform(sequence(1, cast(size({cuts}) / {step} as int)), i -> {cuts}[i * {step} - 1]), c -> c <= doc_id))"
     fine = f"size(filter(slice({cuts}, {coarse} * {step} + 1, {step}), c -> c <= doc_id))"
-    return F.expr(f"case when {cuts} is null then 0 when doc_id is null then size({cuts}) + 1 when size({cuts}) = 0 then 0 else {coarse} * {step} + {fine} end")
+    return F.expr(f"case when {cuts} is null then 0 when doc_id is null then size({cuts}) + 1 + cast(_tie / 9223372036854775808D * _runs as int) when size({cuts}) = 0 then 0 else {coarse} * {step} + {fine} end")
 
 
 def _dealt(keyed: DataFrame, most_runs: int) -> DataFrame:
@@ -71,8 +71,8 @@ def copies(docs: DataFrame, seed: int = 17, share: float = 1.5, most: float = 2.
 
     Sums are found in three steps, none of which brings a source together in one task: over the sizes of a source, over
     the runs of a size, which are ranges of doc_id (a whole number) cut at about every RUN documents, and over the documents of a run.
-    Where the cuts fall does not change the order. Rows of one source, size and doc_id, null too, share a run, whatever their number. Null texts have size 0, null sources are one source,
-    null and repeated ids are ranked like others; the same rows give the same result at every run. With ``sized``, docs has its sizes already and text is not read. The new columns
+    Where the cuts fall, and whether there are any, does not change the order. Rows of one source, size and doc_id follow the hash of all their columns (maps apart),
+    so that which of them is repeated is the same at every run; they share a run, whatever their number, save null ids, which that hash deals out. Null texts have size 0, null sources are one source. With ``sized``, docs has its sizes already and text is not read. The new columns
     replace columns of these names; docs is read more than once and must be deterministic.
     """
     base = docs if sized else docs.withColumn("size", size())
@@ -82,17 +82,19 @@ def copies(docs: DataFrame, seed: int = 17, share: float = 1.5, most: float = 2.
     of_size = sized.withColumn("_before", F.coalesce(F.sum("n").over(up), F.lit(0))).withColumn("_runs", F.expr(f"cast(ceil(n / {RUN}) as int)"))
     of_size = of_size.join(F.broadcast(goal) if goal.limit(100_001).count() <= 100_000 else goal, sized["source"].eqNullSafe(goal["source"])).drop(goal["source"]).drop("n")
     keyed = base.drop("source_size", "target", "copies", "taken")
+    # whole numbers from 0 to 2**63 - 1
+    keyed = keyed.withColumn("_tie", F.shiftrightunsigned(F.xxhash64(*(c for c in keyed.columns if "map<" not in dict(keyed.dtypes)[c])), 1))
     keyed = keyed.join(of_size.withColumnsRenamed({"source": "_source", "size": "_size"}), F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))).drop("_source", "_size")
     most_runs = -(-(sized.agg(F.max("n")).first()[0] or 1) // RUN)
     ranked = _dealt(keyed, most_runs) if most_runs > 1 else keyed.withColumns({"_run": F.lit(0), "_ahead": F.lit(0)})
-    own = Window.partitionBy("source", "size", "_run").orderBy(F.col("doc_id").asc_nulls_last())
+    own = Window.partitionBy("source", "size", "_run").orderBy(F.col("doc_id").asc_nulls_last(), "_tie")
     rank = F.col("_before") + F.col("_ahead") + F.row_number().over(own)
     ranked = ranked.withColumn("_rank", rank)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("")))), 1, 5), 16, 10).cast("double") / F.lit(float(1 << 20))
     ranked = ranked.withColumns({"_rate": rate, "_offset": offset})
     n = F.floor(F.col("_rank") * F.col("_rate") + F.col("_offset")) - F.floor((F.col("_rank") - 1) * F.col("_rate") + F.col("_offset"))
-    return ranked.withColumn("copies", n.cast("int")).withColumn("taken", F.col("copies") * F.col("size")).drop("_before", "_runs", "_run", "_ahead", "_rank", "_rate", "_offset")
+    return ranked.withColumn("copies", n.cast("int")).withColumn("taken", F.col("copies") * F.col("size")).drop("_before", "_runs", "_run", "_ahead", "_rank", "_rate", "_offset", "_tie")
 
 
 def mix(docs: DataFrame, **how: float) -> DataFrame:
