@@ -107,6 +107,20 @@ def _spans(kind: str, rank: int, pattern: str, ok: str) -> str:
   FROM (SELECT *, unnest(range(1, len(word) + 1)) AS i FROM {kind}_p)) WHERE {ok})"""
 
 
+#: Scores in hundredths: of a valid span of the kind, for words before it, and against it.
+_SCORES = " ".join(
+    f"WHEN kind = '{kind}' THEN least(100, greatest(0, {base} + CASE WHEN regexp_matches(near, '(?i)\\b({words})\\b') THEN 40 ELSE 0 END - CASE WHEN regexp_matches(near, '(?i)\\b(example|sample|version|test|isbn|order)\\b') THEN 30 ELSE 0 END))"
+    for kind, base, words in (
+        ("email", 90, "e-?mail|contact|write"),
+        ("ip", 50, "ip|address|host|server"),
+        ("card", 80, "card|credit|visa|payment|paid"),
+        ("phone", 50, "phone|tel|call|mobile|fax"),
+        ("iban", 80, "iban|account|bank|transfer"),
+        ("ssn", 30, "ssn|social|security"),
+    )
+)
+
+
 _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
 _LUHN = f"len({_DIGITS}) BETWEEN 14 AND 19 AND list_sum([CASE WHEN i % 2 = 0 THEN [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][CAST(reverse({_DIGITS})[i] AS INTEGER) + 1] ELSE CAST(reverse({_DIGITS})[i] AS INTEGER) END FOR i IN range(1, len({_DIGITS}) + 1)]) % 10 = 0"
 _SSN_SCORE = r"0.3 + CASE WHEN regexp_matches(near, '(?i)\b(ssn|social|security)\b') THEN 0.4 ELSE 0 END - CASE WHEN regexp_matches(near, '(?i)\b(example|sample|version|test|isbn|order)\b') THEN 0.3 ELSE 0 END >= 0.6"
@@ -121,11 +135,12 @@ WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 {_spans("phone", 3, "\\+[0-9][\\x20().0-9-]+[0-9]", f"len({_DIGITS}) BETWEEN 10 AND 15")},
 {_spans("iban", 4, "\\b[A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]){11,30}\\b", f"{_MOD97} AND {_IBAN_SCORE}")},
 {_spans("ssn", 5, "\\b[0-9]{3}-[0-9]{2}-[0-9]{4}\\b", _SSN_SCORE)},
-a AS (SELECT doc_id, kind, rank, "start", "end" FROM email UNION ALL SELECT doc_id, kind, rank, "start", "end" FROM ip UNION ALL SELECT doc_id, kind, rank, "start", "end" FROM card
-  UNION ALL SELECT doc_id, kind, rank, "start", "end" FROM iban UNION ALL SELECT doc_id, kind, rank, "start", "end" FROM phone UNION ALL SELECT doc_id, kind, rank, "start", "end" FROM ssn)
+a AS (SELECT doc_id, kind, rank, "start", "end", CASE {_SCORES} END AS score
+  FROM (FROM email UNION ALL FROM ip UNION ALL FROM card UNION ALL FROM iban UNION ALL FROM phone UNION ALL FROM ssn))
 SELECT t.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
   sha256(coalesce(string_agg(kind || ':' || "start" || ':' || "end", ',' ORDER BY "start", rank) FILTER (rank < 4), '')) AS base_sha256,
-  coalesce(string_agg(kind || ':' || "start" || ':' || "end", ',' ORDER BY "start", rank) FILTER (kind IS NOT NULL), '') AS spans
+  coalesce(string_agg(kind || ':' || "start" || ':' || "end", ',' ORDER BY "start", rank) FILTER (kind IS NOT NULL), '') AS spans,
+  coalesce(string_agg(score, ',' ORDER BY "start", rank) FILTER (kind IS NOT NULL), '') AS scores
 FROM t LEFT JOIN a USING (doc_id) GROUP BY t.doc_id
 """
 
