@@ -4,8 +4,8 @@ The document-by-shingle incidence is multiplied in blocks. Three things keep the
 without losing a link: (1) documents with equal shingle sets collapse into one row; (2) a size-derived
 bound discards documents too few of whose shingles occur elsewhere; (3) the rest are split into groups
 that share a shingle among their smallest ones, in chains of compatible sizes. Each group is then one block of
-the product, or several if large, which accumulates overlap counts and yields a spanning forest of links,
-never all pairs.
+the product, or, if large, blocks by bands of size of which only neighbours are multiplied. A block accumulates overlap counts,
+of sizes that allow a link alone, and yields a spanning forest of links, never all pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks, text
-from .graph import Forest, checkpoint, components, width
+from .graph import Forest, checkpoint, components
 
 U64 = np.uint64
 #: Tokens that a map task gathers before it sends them on.
@@ -239,10 +239,15 @@ def product(ids: np.ndarray, ns: np.ndarray, tokens: list[np.ndarray], side: np.
     # positions of a document's own entries in the columns' lists: what follows them are the larger documents
     place = np.empty(len(flat), np.int64)
     place[by] = np.arange(len(flat))
+    # a larger set can link to x up to this size: the rows from upto on are discarded before they are counted
+    upto = np.searchsorted(ns, ns * den // num, side="right")
+    entry = col[by] * (len(ids) + 1) + rows
     forest, out = Forest(len(ids)), []
     for x in range(len(ids) - 1):
+        if upto[x] <= x + 1:
+            continue
         mine = slice(bound[x], bound[x + 1])
-        start, stop = place[mine] + 1, cut[col[mine] + 1]
+        start, stop = place[mine] + 1, np.searchsorted(entry, col[mine] * (len(ids) + 1) + upto[x])
         more = stop - start
         total = int(more.sum())
         if not total:
@@ -281,6 +286,27 @@ def _multiply(num: int, den: int):
     return run, "a long, b long"
 
 
+def _cells(near: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
+    """(doc_id, component, block, lo, hi): the cells of the product that each document of a group belongs to.
+
+    A group of up to BLOCK documents is one cell. A larger one is cut into bands, each as wide as sizes of linked sets can be
+    apart, and bands into blocks of about BLOCK: cells are the pairs of blocks of one band or of two neighbours.
+    """
+    wide = float(np.log(den / num)) * 1.0001  # a little more, so that rounding never parts a link by two bands
+    sizes = full.groupBy("doc_id").agg(F.array_distinct(F.collect_list("n")).alias("ns"))
+    count = near.groupBy("component").agg((F.count("*") > BLOCK).alias("large"))
+    member = near.select(F.col("id").alias("doc_id"), "component").join(count, "component").join(sizes, "doc_id").withColumn("n", F.explode("ns"))
+    member = checkpoint(member.select("doc_id", "component", F.when(F.col("large"), F.floor(F.log("n") / F.lit(wide))).otherwise(F.lit(0)).cast("int").alias("band")).distinct())
+    bands = member.groupBy("component", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("many"))
+    # sizes grow by a third from band to band: a hundred bands hold any text
+    bands = bands.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("band", "many"))).alias("many"))
+    key = lambda band, at: band.cast("long") * (1 << 32) + at
+    cells = member.join(bands, "component").withColumn("block", key(F.col("band"), F.pmod(F.xxhash64("doc_id"), F.element_at("many", F.col("band")))))
+    others = F.expr("flatten(transform(array(band - 1, band, band + 1), b -> transform(slice(sequence(0, coalesce(try_element_at(many, b), 1) - 1), 1, coalesce(try_element_at(many, b), 0)), k -> cast(b as bigint) * 4294967296 + k)))")
+    cells = cells.withColumn("other", F.explode(others))
+    return cells.select("doc_id", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).distinct()
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs.
 
@@ -290,25 +316,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     one node of the graph; a row with a null id keeps its size and has a null component. Other columns of docs
     are not read. docs must be a deterministic scan, since a lost task runs again.
     """
-    spark = docs.sparkSession
-    parts = width(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    parts, buckets = blocks.spread(base)
     sig = checkpoint(base.mapInArrow(*_signature(k)))
     some = sig.where("doc_id is not null and n_shingles > 0")
     same = some.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     ids = base.where("doc_id is not null")
-    sent = blocks.together(ids.mapInArrow(*_send(k, num, den, 4 * parts)), parts, "bucket")
+    sent = blocks.together(ids.mapInArrow(*_send(k, num, den, buckets)), parts, "bucket")
     hits = blocks.together(sent.mapInArrow(*_recur(True)), parts, "chunk").mapInArrow(*_enough())
     left = checkpoint(hits.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").distinct())
     full = checkpoint(ids.join(blocks.small(left), "doc_id").mapInArrow(*_full(k)).where("n > 0"))
-    sent = blocks.together(full.mapInArrow(*_send_all(4 * parts)), parts, "bucket")
-    heads = blocks.together(sent.mapInArrow(*_recur(False)), parts, "chunk").mapInArrow(*_heads(num, den, 4 * parts))
+    sent = blocks.together(full.mapInArrow(*_send_all(buckets)), parts, "bucket")
+    heads = blocks.together(sent.mapInArrow(*_recur(False)), parts, "chunk").mapInArrow(*_heads(num, den, buckets))
     chains = blocks.together(heads, parts, "bucket").mapInArrow(*_chains(num, den))
     near = components(chains)
-    size = near.groupBy("component").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("many"))
-    cells = near.join(size, "component").select(F.col("id").alias("doc_id"), "component", "many", F.expr("cast(pmod(xxhash64(id), many) as int)").alias("block"))
-    cells = cells.withColumn("other", F.explode(F.expr("sequence(0, many - 1)"))).select("doc_id", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    links = blocks.together(full.join(cells, "doc_id"), parts, "component", "lo", "hi").mapInArrow(*_multiply(num, den))
+    links = blocks.together(full.join(_cells(near, full, num, den), "doc_id"), parts, "component", "lo", "hi").mapInArrow(*_multiply(num, den))
     linked = sig.join(same, ["n_shingles", "s1", "s2"])
     edges = links.unionByName(linked.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     found = components(edges)
