@@ -379,8 +379,9 @@ def test_pii_many_matches(spark):
 
 
 def removed(rows, least):
-    seen, out = set(), {}
-    for d, t in sorted(rows, key=lambda x: x[0]):
+    """[(id, bytes, removed, spans, hash)] of rows in order."""
+    seen, out = set(), []
+    for d, t in rows:
         b = (t or "").encode()
         gone = bytearray(len(b))
         for p in range(len(b) - least + 1):
@@ -389,17 +390,33 @@ def removed(rows, least):
                 gone[p : p + least] = b"\1" * least
             seen.add(s)
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
-        out[d] = (len(b), sum(gone), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone)), hashlib.sha256(kept).hexdigest())
-    return out
+        out.append((d, len(b), sum(gone), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
 
 
 def test_repeats(spark, docs, empty):
     extra = [(900 + i, t) for i, t in enumerate(["a" * 500, "ab" * 200, "a" * 99, "a" * 100, ("ab" * 200)[1:], "é" * 120, "zé" * 60 + "é" * 70])]
     rows = [(r[0], r[1]) for r in corpus()] + extra
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("bucket", F.lit("clash"))
-    assert {r.doc_id: tuple(r)[1:] for r in repeats.digest(df).collect()} == removed(rows, 100)
+    assert sorted(map(tuple, repeats.digest(df).collect()), key=str) == removed(sorted(rows), 100)
     lone = spark.createDataFrame([(None, "a" * 300)], "doc_id long, text string")
-    assert [tuple(r)[:4] for r in repeats.digest(lone).collect()] == [(None, 300, 0, 0)] and repeats.digest(empty).count() == 0
+    assert [tuple(r)[:4] for r in repeats.digest(lone).collect()] == [(None, 300, 299, 1)] and repeats.digest(empty).count() == 0
+
+
+def test_repeats_of_rows_that_share_ids(spark):
+    """Null and repeated ids: each row keeps its own text, equal rows lose all copies but one, and nothing is taken from a neighbour."""
+    r = random.Random(7)
+    noise = lambda n: "".join(r.choices("abcdefghij ", k=n))
+    x, y, z = noise(300), noise(550), noise(180)
+    rows = [(5, x), (5, x), (6, "short one of twenty!"), (6, y), (6, y[100:400] + z), (None, z), (None, x[:150] + noise(40)), (None, None), (None, z), (None, ""), (7, z + noise(30)), (4, noise(120)), (6, "short one of twenty!"), (5, x)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tie = {t: h for t, h in df.select("text", F.xxhash64(F.coalesce("text", F.lit("")))).collect()}
+    ordered = sorted(rows, key=lambda q: (q[0] is None, q[0] or 0, tie[q[1]]))
+    got = sorted(map(tuple, repeats.digest(df.repartition(4)).collect()), key=str)
+    assert got == removed(ordered, 100) and len(got) == len(rows)
+    assert sum(g[2] == 0 for g in got if g[0] == 5) == 1
+    places = {(d, t[g.start : g.start + g.length]) for g in repeats.occurrences(df).collect() for d, t in rows if d == g.doc_id and t}
+    assert {7, None, 6} <= {d for d, t in places if len(t) >= 100 and t in z}
 
 
 def test_repeat_groups(spark):
@@ -409,7 +426,11 @@ def test_repeat_groups(spark):
     passage = noise(150)
     rows = [(i, noise(100 + i) + chr(65 + i) + passage + chr(75 + i) + noise(90)) for i in range(3)]
     got = repeats.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert any(g.length == 150 and list(zip(g.doc_ids, g.starts, strict=True)) == [(0, 101), (1, 102), (2, 103)] for g in got) or all(g.doc_ids == [0, 1, 2] and g.length >= 100 for g in got) and got
+    # regions bound a repeat's length: those that lie within the passage together cover it, each with its place in all three documents
+    inside = [g for g in got if g.doc_ids == [0, 1, 2]]
+    assert got and len(inside) == len(got)
+    assert all(g.length >= 100 and [s - (101 + i) for i, s in enumerate(g.starts)] == [g.starts[0] - 101] * 3 for g in got)
+    assert min(g.starts[0] for g in got) == 101 and max(g.starts[0] + g.length for g in got) == 251
 
 
 @pytest.mark.parametrize("hot", [100_000, 2])

@@ -53,6 +53,21 @@ def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("shuffle_hash")
 
 
+#: Bytes of input behind a partition of an exchange, and behind a bucket, that is what a task holds at a time, at most, about.
+PART, BUCKET = 256 << 20, 32 << 20
+
+
+def spread(df: DataFrame) -> tuple[int, int]:
+    """(partitions, buckets) for packed exchanges of df: by the session's shuffle partitions, and more where df's files are
+    estimated to be large, so that what one task holds doesn't grow with the input. Results don't depend on them."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= 1 << 56:  # unknown
+        size = 0
+    parts = max(parts, min(-(-size // PART), 1 << 20))
+    return parts, max(4 * parts, min(-(-size // BUCKET), 1 << 24))
+
+
 def split(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(bucket, parts of the arrays) for each bucket that occurs, in stable order."""
     if not len(bucket):

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where none is set."""
+    """The shared folder of spark.checkpoint.dir; a folder of our own only where none is set and all runs in one process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-"))
+        own = sc.getConf().get("spark.checkpoint.dir")
+        if not own and not sc.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="tidemark-"))
     return sc.getCheckpointDir()
 
 

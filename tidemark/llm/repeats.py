@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks, text
-from .graph import width, written
+from .graph import written
 
 U64 = np.uint64
 #: Bytes of an anchor.
@@ -366,38 +366,54 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield blocks.batch(schema, b.column("doc_id"), *(list(x) for x in zip(*out, strict=True)))
 
 
-def _plan(docs: DataFrame, least: int, whole: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    parts = width(docs.sparkSession)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    known = base.where("doc_id is not null")
-    sent = blocks.together(known.mapInArrow(*_send(least, 4 * parts, whole)), parts, "bucket")
+def _rows(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(rows, repeats): rows(doc_id, own, text) with doc_id a number of each row's own that keeps the order of ids; own is the id itself.
+
+    Where ids are unique and not null they are these numbers already. Otherwise rows are numbered in order of id, null last,
+    and of their text's hash; equal rows become one, and ``repeats`` (own, text, many) holds those that are more than one.
+    """
+    base = docs.select(F.col("doc_id").cast("long").alias("own"), F.coalesce("text", F.lit("")).alias("text"))
+    if base.groupBy("own").count().where("count > 1 or own is null").isEmpty():
+        return base.select(F.col("own").alias("doc_id"), "own", "text"), None
+    each = base.groupBy("own", F.xxhash64("text").alias("tie")).agg(F.any_value("text").alias("text"), F.count("*").alias("many"))
+    # numbers grow with the partition and within it, and partitions are ranges of (own, tie)
+    rows = written(each.orderBy(F.col("own").asc_nulls_last(), "tie").withColumn("doc_id", F.monotonically_increasing_id()).select("doc_id", "own", "text", "many"))
+    return rows.drop("many"), rows.where("many > 1").select("own", "text", "many")
+
+
+def _plan(known: DataFrame, least: int, whole: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    parts, buckets = blocks.spread(known)
+    sent = blocks.together(known.select("doc_id", "text").mapInArrow(*_send(least, buckets, whole)), parts, "bucket")
     settled = written(sent.mapInArrow(*_settle(least, whole)))
     dealt = known.repartition(parts, "doc_id")  # for either join; Spark exchanges the texts for each
     apart = settled.where("kind = 1").groupBy("doc_id").agg(F.collect_list(F.struct("first", "wide", "back")).alias("apart"))
-    pieces = dealt.join(apart, "doc_id").mapInArrow(*_bytes(least))
-    return dealt, base.where("doc_id is null"), settled, blocks.together(pieces, parts, "key").mapInArrow(*_arrays(least, whole))
+    pieces = dealt.select("doc_id", "text").join(apart, "doc_id").mapInArrow(*_bytes(least))
+    return dealt, settled, blocks.together(pieces, parts, "key").mapInArrow(*_arrays(least, whole))
 
 
 def occurrences(docs: DataFrame, least: int = 100) -> DataFrame:
     """(string, length, doc_id, start): every occurrence of each maximal repeat within regions, a row each; string is the repeat's hash.
 
     Suffix arrays tell where repeats lie in distinct stretches, and a stretch that several places hold is a repeat itself. All
-    members of a stretch, copies too, are then joined to what is told of it; those of a hot one are salted.
+    members of a stretch, copies too, are then joined to what is told of it; those of a hot one are salted. Rows that share an id, or
+    have none, are told apart as in ``dedup``; equal rows of one id count as one.
     """
-    _, _, settled, found = _plan(docs, least, True)
+    rows, many = _rows(docs)
+    _, settled, found = _plan(rows, least, True)
     equal = settled.where("kind = 2").groupBy("hash").agg(F.max("wide").alias("wide"), F.count("*").alias("n"))
     alike = equal.select(F.col("hash").alias("string"), (F.col("wide") + least).cast("long").alias("length"), "hash", F.lit(0).cast("long").alias("at"))
     hot = F.broadcast(written(equal.where(F.col("n") > HOT).select("hash", F.ceil(F.col("n") / HOT).cast("int").alias("salts"))))
     salts = F.coalesce("salts", F.lit(1))
     members = settled.select("hash", "doc_id", "first").join(hot, "hash", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "first"), salts)).drop("salts")
     links = found.unionByName(alike).distinct().join(hot, "hash", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), (salts - 1).cast("long")))).drop("salts")
-    return links.join(members, ["hash", "salt"]).select("string", "length", "doc_id", (F.col("first") + F.col("at")).alias("start")).distinct()
+    out = links.join(members, ["hash", "salt"]).select("string", "length", "doc_id", (F.col("first") + F.col("at")).alias("start")).distinct()
+    return out if many is None else out.join(rows.select("doc_id", "own"), "doc_id").select("string", "length", F.col("own").alias("doc_id"), "start")
 
 
 def groups(docs: DataFrame, least: int = 100) -> DataFrame:
     """(length, doc_ids, starts): the maximal repeats within regions, each with all its occurrences in order of document and place.
 
-    A group is one row, however large; ``occurrences`` has the same as a row for each.
+    A group is one row, however large; ``occurrences`` has the same as a row for each, and the same rules for null and repeated ids and null texts.
     """
     at = F.array_sort(F.collect_list(F.struct("doc_id", "start")))
     return occurrences(docs, least).groupBy("string", "length").agg(at.alias("at")).select("length", F.col("at.doc_id").alias("doc_ids"), F.col("at.start").alias("starts"))
@@ -407,17 +423,22 @@ def dedup(docs: DataFrame, least: int = 100) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every row of docs(doc_id, text): the text's UTF-8 bytes
     without each byte covered by a string of ``least`` bytes that also starts earlier, in a smaller doc_id or before it in the same text.
 
-    Overlaps count, strings are those of the input, and matches never cross texts. A null text is empty; a row with a null doc_id
-    is neither cut nor compared; rows that share a doc_id are not told apart, so ids should be unique. Equal hashes
+    Overlaps count, strings are those of the input, and matches never cross texts. A null text is empty. Null ids come after all others;
+    rows that share an id follow the hash of their texts, and of equal rows one comes first and stays, whatever their number. Equal hashes
     of 64 bits are taken for equal stretches. docs must be deterministic.
     """
-    dealt, lost, settled, found = _plan(docs, least, False)
+    rows, repeats = _rows(docs)
+    dealt, settled, found = _plan(rows, least, False)
     spans = settled.where("kind = 0").select("doc_id", F.col("first").alias("start"), (F.col("first") + F.col("wide")).alias("stop")).unionByName(found)
     listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    cut = dealt.join(listed, "doc_id", "left").select("doc_id", "text", "spans")
-    return cut.unionByName(lost.withColumn("spans", F.lit(None).cast("array<struct<start:bigint,stop:bigint>>"))).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    cut = dealt.join(listed, "doc_id", "left").select(F.col("own").alias("doc_id"), "text", "spans")
+    if repeats is not None:
+        # the others of equal rows: all of a text that has a string to repeat goes
+        whole = F.when(F.octet_length("text") >= least, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("stop"))))
+        cut = cut.unionByName(repeats.select(F.col("own").alias("doc_id"), "text", whole.alias("spans"), F.explode(F.sequence(F.lit(2).cast("long"), "many"))).drop("col"))
+    return cut.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digest(docs: DataFrame, least: int = 100) -> DataFrame:
-    """dedup with the kept bytes' SHA-256 in their place."""
+    """dedup with the kept bytes' SHA-256 in their place; the same rows and edge cases."""
     return dedup(docs, least).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
