@@ -101,16 +101,19 @@ def test_jaccard_null_and_repeated_ids(spark, empty):
 
 @pytest.mark.parametrize("limit", [1 << 25, 100])
 def test_decontaminate(spark, docs, empty, limit):
-    items = [(i, t) for i, (_, t, *_) in enumerate(corpus(3, 12)) if t] + [(90, None), (91, ""), (92, "one two"), (None, "a b c d e f")]
+    items = [(i, t) for i, (_, t, *_) in enumerate(corpus(3, 12)) if t] + [(90, None), (91, ""), (92, "one two"), (93, "word WORD word word"), (94, "é é 中文"), (95, "É 中文 word"), (96, "one"), (None, "a b c d e f")]
     df = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
-    want = set()
+    want, grams = set(), {(d, m): set(zip(*(words(x)[k:] for k in range(m)), strict=False)) for d, x, *_ in corpus() for m in (3, 4)}
     for i, t in items:
         if i is not None and shingles(t):
-            q = shingles(t)
+            q, w = shingles(t), words(t)
             for d, x, *_ in corpus():
                 n = len(q & shingles(x))
+                if len(w) in (3, 4):  # the item's words in a row, wherever they stand
+                    n = int(tuple(w) in grams[d, len(w)])
                 if 100 * n >= 75 * len(q):
                     want.add((d, i, n, len(q)))
+    assert {93, 92} <= {i for _, i, *_ in want}
     assert {tuple(r) for r in decontaminate.matches(docs, df, pass_bytes=limit).collect()} == want
     kept = {r.doc_id for r in decontaminate.clean(docs, df).collect()}
     assert kept == {r[0] for r in corpus()} - {w[0] for w in want}

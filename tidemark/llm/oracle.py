@@ -27,9 +27,12 @@ ITEMS = SHINGLES.format(id="item_id", table="benchmark").replace("w AS (", "iw A
 OP3 = f"""
 WITH {SHINGLES.format(id="doc_id", table="documents")} {ITEMS}
 d AS (SELECT doc_id, unnest(g) AS t FROM g),
-i AS (SELECT doc_id AS item_id, len(g) AS n, unnest(g) AS t FROM ig)
+i AS (SELECT doc_id AS item_id, len(g) AS n, unnest(g) AS t FROM ig JOIN iw USING (doc_id) WHERE len(w) NOT IN (3, 4)),
+ds AS (SELECT doc_id, 3 AS k, unnest(list_distinct([array_to_string(w[j : j + 2], ' ') FOR j IN range(1, len(w) - 1)])) AS t FROM w
+  UNION ALL SELECT doc_id, 4 AS k, unnest(list_distinct([array_to_string(w[j : j + 3], ' ') FOR j IN range(1, len(w) - 2)])) AS t FROM w)
 SELECT doc_id, item_id, count(*) AS n_shared, CAST(n AS BIGINT) AS n_item FROM d JOIN i USING (t)
 GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 75 * n
+UNION ALL SELECT ds.doc_id, iw.doc_id, 1, 1 FROM ds JOIN iw ON len(iw.w) = ds.k AND array_to_string(iw.w, ' ') = ds.t
 """
 
 
