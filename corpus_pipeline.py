@@ -24,26 +24,32 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, that of the smallest id; rows with a null id all stay."""
-    found = jaccard.classes(docs)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    one = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
-    return one.unionByName(docs.where("doc_id is null"))
+    """One document of each class of near-duplicates, that of the smallest id.
+
+    Where ids repeat or are null, rows are numbered first, in order of id, null last, and of text, so that each stands by its own
+    text: of copies under one id, or under none, one stays too. Texts without words are copies of nothing and all stay.
+    """
+    own = "doc_id"
+    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        own, ordered = "_row", docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text")
+        docs = graph.written(ordered.withColumn(own, F.monotonically_increasing_id()))
+    kept = jaccard.classes(docs, own).where("doc_id = component_id").select(F.col("doc_id").alias("_id"))
+    return docs.join(kept, F.col(own) == F.col("_id"), "left_semi").drop("_row")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Each row stands by its own text, whatever its id; null and empty texts stay."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind, and n_chars to match; no document goes."""
+    """Documents with personal data replaced by its kind, and n_chars to match; no row goes, whatever its id, and null texts stay null."""
     out = pii.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: each document as often as its source's target asks."""
+    """The mix of sources: each document as often as its source's target asks. Null sources are one source; null texts have no words; rows of one id are ranked by their hash."""
     return mixing.mix(docs)
 
 

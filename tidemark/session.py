@@ -21,5 +21,8 @@ def session(app: str = "tidemark", master: str | None = None, **conf: str) -> Sp
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-")
+    """A folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all runs in one process."""
+    own = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not own and not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return own or tempfile.mkdtemp(prefix="tidemark-")
