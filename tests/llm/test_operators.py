@@ -328,6 +328,14 @@ def test_mixing_order(spark, monkeypatch, run):
         assert sorted(x.copies for x in mine) == sorted(want)
 
 
+def test_mix_of_rows_that_share_an_id(spark):
+    """Which of several texts under one id and size is repeated is the same at every run, however the rows lie."""
+    rows = [(i, f"w{i} w{k} x", "a") for i in (1, None) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, other = (sorted(map(tuple, mixing.mix(x).collect()), key=str) for x in (df, df.orderBy(F.desc("text")).repartition(5)))
+    assert one == other and len(one) == 120
+
+
 BASE = {"email": rb"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": rb"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": rb"[0-9]([\x20-]?[0-9])+", "phone": rb"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

@@ -50,6 +50,16 @@ def test_stages(spark, tmp_path):
     assert abs(sum(len(words(r.text)) for r in seen[4]) - 1.5 * whole) <= 3 * 2 * max(len(words(r.text)) for r in seen[3])
 
 
+def test_copies_of_rows_that_share_ids(spark):
+    """Of copies under one id, or under none, one stays; other texts under these ids stay too."""
+    t, u, v = "a b c d e f g h i", "one two three four five six", "seven eight nine ten eleven"
+    rows = [(1, t), (1, t), (None, t), (3, t + " j"), (2, u), (2, v), (None, "w x y z p q"), (None, "w x y z p q"), (None, None), (None, ""), (4, None)]
+    docs = spark.createDataFrame([(i, x, "en", "a", 1) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, t), (2, u), (2, v), (None, "w x y z p q"), (None, None), (None, ""), (4, None)], key=str)
+
+
 def test_empty_documents(spark, tmp_path):
     for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
