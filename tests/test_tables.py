@@ -1,4 +1,4 @@
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,10 +22,10 @@ def rows(df):
 def test_merge(spark, catalog):
     catalog.append("t", spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"))
     catalog.append("t", spark.createDataFrame([(3, "c")], "id int, v string"))
-    kept = catalog.manifest("t")["files"][1]["path"]
+    kept = catalog.manifest("t")["files"][-1]["path"]
     catalog.merge("t", spark.createDataFrame([(2, "B"), (4, "d")], "id int, v string"), ["id"])
     assert rows(catalog.table("t")) == [(1, "a"), (2, "B"), (3, "c"), (4, "d")]
-    assert kept in [f["path"] for f in catalog.manifest("t")["files"]]  # folders without a key are not rewritten
+    assert kept in [f["path"] for f in catalog.manifest("t")["files"]]  # files without a key are not rewritten
     before = catalog.get_reference().hash
     assert catalog.merge("t", spark.createDataFrame([], "id int, v string"), ["id"]) is None and catalog.get_reference().hash == before
     with pytest.raises(MergeCardinality):
@@ -170,3 +170,46 @@ def test_streaming_drain(spark, catalog, tmp_path):
     for _ in range(2):
         drain(catalog, f"{tmp_path}/s", schema, "bronze.s", f"{tmp_path}/ck")
     assert catalog.table("bronze.s").count() == 3
+
+
+def test_one_key_touches_one_file(spark, catalog):
+    """A merge of one key rewrites the one file that holds it, whatever the table's size; reads within bounds open only files that may match."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        catalog.overwrite("t", spark.range(1000).select("id", F.lit("a").alias("v")), keys=["id"])
+        before = {f["path"] for f in catalog.manifest("t")["files"]}
+        assert len(before) > 3
+        catalog.merge("t", spark.createDataFrame([(500, "b")], "id long, v string"), ["id"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    after = {f["path"] for f in catalog.manifest("t")["files"]}
+    assert len(before - after) == 1 and catalog.table("t").count() == 1000 and catalog.table("t").where("v = 'b'").count() == 1
+    near = catalog.table("t", {"id": (10, 12)})
+    assert sorted(r.id for r in near.collect()) == [10, 11, 12] and len(near.inputFiles()) == 1
+    assert {r.lower_bounds["id"] for r in catalog.files("t").collect()} >= {"0", "500"}
+
+
+def test_replace_range(spark, catalog):
+    days = lambda a, b, v: spark.range(a, b).select(F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("d"), F.lit(v).alias("v"))
+    at = lambda n: date(2024, 1, 1 + n)
+    catalog.overwrite("s", days(0, 20, "old"), keys=["d"])
+    catalog.replace_range("s", days(17, 23, "new"), "d", at(17), at(22))
+    catalog.replace_range("s", days(5, 7, "fix"), "d", at(5), at(8))  # days 7 and 8 have no rows any more
+    got = {(r.d - date(2024, 1, 1)).days: r.v for r in catalog.table("s").collect()}
+    assert got == {n: "new" if n >= 17 else "fix" if n in (5, 6) else "old" for n in range(23) if n not in (7, 8)}
+    with pytest.raises(CatalogError):
+        catalog.replace_range("s", days(0, 9, "far"), "d", at(5), at(8))
+
+
+def test_watermark_by_commit_and_metadata_tables(spark, catalog):
+    source = lambda *x: spark.createDataFrame([(k, v, datetime.fromisoformat(t)) for k, v, t in x], "k int, v string, _ingested_at timestamp_ntz")
+    old, late = (1, "a", "2024-01-01T00:00:00"), (2, "b", "2999-01-01T00:00:00")
+    catalog.incremental("t", source(old), ["k"], by_commit=True)
+    assert catalog.committed_at("t") > "2024" and catalog.committed_at("none") is None
+    assert catalog.incremental("t", source(old), ["k"], by_commit=True) is None
+    catalog.incremental("t", source(old, late), ["k"], by_commit=True)
+    assert catalog.table("t").count() == 2
+    assert catalog.history("t").count() == catalog.manifests("t").count() == catalog.snapshots("t").count()
+    assert catalog.manifests("t").orderBy(F.desc("record_count")).first().record_count == 2
+    n = len(catalog.get_log())
+    assert catalog.expire_snapshots(now=datetime(2999, 1, 1)) == n - 1 and len(catalog.get_log()) == 1 and catalog.table("t").count() == 2
