@@ -48,11 +48,18 @@ def grouped_expression_is_true(df: DataFrame, by: list[str], value: Column, expr
     return df.groupBy(*by).agg(value.alias("value")).where(~F.coalesce(F.expr(expression), F.lit(False)))
 
 
-def exclusive_ranges(df: DataFrame, lower: str, upper: str, by: str, gaps: bool = False) -> DataFrame:
-    """Ranges that are empty, overlap the next one of their key, or, unless gaps may be, leave one before it."""
+def in_bucket(df: DataFrame, column: str, buckets: int, bucket: int) -> DataFrame:
+    """Rows whose whole-number column leaves this remainder, for tests that look at a table one part at a time; null is in bucket 0."""
+    return df.where(F.pmod(F.coalesce(F.col(column), F.lit(0)), F.lit(buckets)) == bucket)
+
+
+def exclusive_ranges(df: DataFrame, lower: str, upper: str, by: str, gaps: bool = False, last: object = None) -> DataFrame:
+    """Ranges that are empty, overlap the next one of their key, or, unless gaps may be, leave one before it; with last, also a key's last range that ends elsewhere."""
     df = df.withColumn("_next", F.lead(lower).over(Window.partitionBy(by).orderBy(lower, upper)))
     bad = (F.col(lower) >= F.col(upper)) | (F.col(upper) > F.col("_next"))
-    return df.where(bad if gaps else bad | (F.col(upper) < F.col("_next"))).drop("_next")
+    bad = bad if gaps else bad | (F.col(upper) < F.col("_next"))
+    bad = bad if last is None else F.coalesce(bad, F.lit(False)) | (F.col("_next").isNull() & (F.col(upper) != F.lit(last).cast(df.schema[upper].dataType)))
+    return df.where(bad).drop("_next")
 
 
 def at_least(df: DataFrame, larger: str, smaller: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -124,6 +124,28 @@ def periodic_snapshot(roster: DataFrame, versions: DataFrame, key: str, start: s
     return pit_join(days, versions, key, "_at", take).drop("_at")
 
 
+def refresh_snapshot(catalog, table: str, build, column: str, first: date, upto: date, days: int = 3, start: date | None = None, stop: date | None = None) -> tuple[date, date]:
+    """Bring a snapshot table up to a day, and return the days that were built; build(lower, upper) gives their rows.
+
+    A table that is not there is built from its first day. Otherwise the last ``days`` days, and all that followed the table's last
+    day, are built again and take the place of what was there; with start or stop, a range of dates is filled back instead. Other days' files are not read.
+    """
+    lower, upper = first, upto
+    if catalog.exists(table):
+        if start or stop:
+            lower, upper = start or first, stop or upto
+        else:
+            last = catalog.table(table).agg(F.max(column)).first()[0]
+            lower = max(first, min(upto - timedelta(days=days - 1), last + timedelta(days=1) if last else first))
+    catalog.replace_range(table, build(lower, upper), column, lower, upper)
+    return lower, upper
+
+
+def audited(df: DataFrame, now: datetime) -> DataFrame:
+    """df with loaded_at, the build's clock; ``checksum`` leaves it out."""
+    return df.withColumn("loaded_at", F.lit(now).cast("timestamp_ntz"))
+
+
 def monthly_revenue(status: str, price: str, period: str) -> Column:
     """0 in trial and pause and for an unknown plan; a twelfth of an annual price; else the price."""
     p = F.col(price)

@@ -44,6 +44,14 @@ def _triage(df: DataFrame, rules: list[Rule], strict_null: bool) -> Column:
     return reason
 
 
+def outcomes(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """df with outcome: clean, or the first rule that holds, in one pass; null where the rules are null, as neither accepted nor rejected has such rows."""
+    some = rules[0].when
+    for r in rules[1:]:
+        some = some | r.when
+    return df.withColumn("outcome", F.when(~some, F.lit("clean")).otherwise(_triage(df, rules, False)))
+
+
 def accepted(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """Rows that no rule rejects. In three-valued logic a rule that is null passes neither this nor rejected."""
     some = rules[0].when

@@ -13,10 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import capped_ratio, date_key, end_of_day, from_date_key, iso_weekday, low, seconds_between, surrogate_key, timestamp_text, unknown_key
-from tidemark.operators import checks, dimensional, history
+from tidemark.functions import checksum
+from tidemark.operators import checks, dimensional, history, ranking
 from tidemark.operators.history import asc, desc
+from tidemark.plans import Project, write_audit_publish
 from tidemark.session import shared_folder
-from tidemark.sources.tables import Backfill, Catalog
+from tidemark.sources import bronze
+from tidemark.sources.tables import Backfill, Catalog, CatalogError
+from tidemark.streaming import drain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -86,15 +90,21 @@ def gate_rules() -> list[history.Rule]:
 @query("""SELECT CASE WHEN l_quantity <= 0 THEN 'no_quantity' WHEN l_shipdate < o_orderdate THEN 'shipped_before_ordered' WHEN l_shipdate > TIMESTAMP '2001-01-01' THEN 'future' ELSE 'clean' END AS outcome,
 count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL""")
 def gate_outcomes(t):
-    df = shipped(t)
-    both = history.accepted(df, gate_rules()).select(F.lit("clean").alias("outcome")).unionByName(history.rejected(df, gate_rules()).select(F.col("rejection_reason").alias("outcome")))
-    return both.groupBy("outcome").agg(F.count("*").alias("n"))
+    return history.outcomes(shipped(t), gate_rules()).groupBy("outcome").agg(F.count("*").alias("n"))
+
 
+REJECTED = "(l_quantity <= 0 OR l_shipdate < o_orderdate OR l_shipdate > TIMESTAMP '2001-01-01')"
 
-@query("SELECT 0::BIGINT AS n_staged, 0::BIGINT AS n_clean, 0::BIGINT AS n_rejected WHERE false")
+
+@query(f"""WITH j AS (FROM lineitem JOIN orders ON l_orderkey = o_orderkey), n AS (
+SELECT 'whole' AS gate, count(*) AS n_staged, count(*) FILTER (NOT {REJECTED}) AS n_clean, count(*) FILTER ({REJECTED}) AS n_rejected FROM j
+UNION ALL SELECT 'leaking', count(*), count(*) FILTER (NOT {REJECTED} AND l_linenumber <> 2), count(*) FILTER ({REJECTED}) FROM j) SELECT * FROM n WHERE n_staged <> n_clean + n_rejected""")
 def gate_conservation(t):
+    """A gate that keeps all rows gives none here, one that loses some gives its counts."""
     df = shipped(t)
-    return history.conservation(df, history.accepted(df, gate_rules()), history.rejected(df, gate_rules()))
+    clean, refused = history.accepted(df, gate_rules()), history.rejected(df, gate_rules())
+    whole, leaking = history.conservation(df, clean, refused), history.conservation(df, clean.where("l_linenumber <> 2"), refused)
+    return whole.select(F.lit("whole").alias("gate"), "*").unionByName(leaking.select(F.lit("leaking").alias("gate"), "*"))
 
 
 @query(f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey DESC) AS rn FROM orders),
@@ -259,7 +269,10 @@ def incremental_merge(t):
     return c.table("orders").drop("_ingested_at")
 
 
-@query("SELECT * FROM (VALUES ('before', 5::BIGINT), ('bad', 8::BIGINT), ('travel', 5::BIGINT), ('after', 5::BIGINT)) v(moment, n)")
+GOOD, ALL = "(SELECT count(*) FROM nation WHERE n_nationkey < 5)", "(SELECT count(*) FROM nation WHERE n_nationkey < 8)"
+
+
+@query(f"SELECT 'before' AS moment, {GOOD} AS n UNION ALL SELECT 'bad', {ALL} UNION ALL SELECT 'travel', {GOOD} UNION ALL SELECT 'after', {GOOD}")
 def time_travel(t):
     """Good rows, then bad ones, a look back, and a reset of the branch."""
     df = t("nation").select("n_nationkey", "n_name")
@@ -290,19 +303,29 @@ def schema_evolution(t):
     return c.table("n")
 
 
-@query("""SELECT * FROM (VALUES ('not_null', 0::BIGINT)) v(test, failures) UNION ALL SELECT 'unique', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)
+@query(f"""WITH {USER_VERSIONS}, {BRIDGE}
+SELECT 'not_null' AS test, count(*) AS failures FROM orders WHERE o_orderkey % 11 = 0 UNION ALL SELECT 'unique', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)
 UNION ALL SELECT 'relationships', count(DISTINCT o_custkey) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0) UNION ALL SELECT 'accepted_values', count(*) FROM orders WHERE o_orderstatus NOT IN ('F', 'O')
-UNION ALL SELECT 'accepted_range', count(*) FROM lineitem WHERE l_quantity < 2 OR l_quantity > 40 UNION ALL SELECT 'expression', count(*) FROM orders WHERE NOT (o_totalprice > 1000) UNION ALL SELECT 'ranges', 0 UNION ALL SELECT 'pair', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate
-UNION ALL SELECT 'weights', 0 UNION ALL SELECT 'same_count', 1 UNION ALL SELECT 'distinct_count', CASE WHEN (SELECT count(DISTINCT o_custkey) FROM orders) <> (SELECT count(DISTINCT c_custkey) FROM customer) THEN 1 ELSE 0 END
+UNION ALL SELECT 'accepted_range', count(*) FROM lineitem WHERE l_quantity < 2 OR l_quantity > 40 UNION ALL SELECT 'expression', count(*) FROM orders WHERE NOT (o_totalprice > 1000)
+UNION ALL SELECT 'ranges', count(*) FROM (SELECT user_id FROM v GROUP BY user_id HAVING count(*) > 1) UNION ALL SELECT 'last_range', count(*) FROM (SELECT user_id FROM v GROUP BY user_id HAVING count(*) = 1)
+UNION ALL SELECT 'pair', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate
+UNION ALL SELECT 'weights', count(*) FROM (SELECT l_partkey FROM a WHERE l_suppkey % 5 <> 0 GROUP BY l_partkey HAVING sum(allocation_weight) <> 1)
+UNION ALL SELECT 'same_count', CASE WHEN (SELECT count(*) FROM orders) <> (SELECT count(*) FROM lineitem) THEN 1 ELSE 0 END
+UNION ALL SELECT 'distinct_count', CASE WHEN (SELECT count(DISTINCT o_custkey) FROM orders) <> (SELECT count(DISTINCT c_custkey) FROM customer) THEN 1 ELSE 0 END
 UNION ALL SELECT 'reconciles', count(*) FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey % 2 = 0""")
 def data_tests(t):
+    """Each test on rows that break it: keys blanked, intervals cut short, weights left out."""
     o, li = t("orders"), t("lineitem")
     flagged = o.where("o_orderkey % 2 = 0").select("o_orderkey", F.lit("F").alias("status"))
+    v = user_versions(t)
+    short = v.withColumn("effective_to", F.when((F.col("scd_version") == 1) & (F.col("effective_to") < F.lit("9000-01-01").cast("timestamp_ntz")), F.col("effective_to") - F.expr("interval 1 microsecond")).otherwise(F.col("effective_to")))
+    ended = v.withColumn("effective_to", F.when((F.col("scd_version") == 1) & (F.col("effective_to") > F.lit("9000-01-01").cast("timestamp_ntz")), F.lit("9000-01-01").cast("timestamp_ntz")).otherwise(F.col("effective_to")))
     return checks.report(
-        not_null=checks.not_null(o, "o_orderkey"), unique=checks.unique(li, "l_orderkey", "l_linenumber"), relationships=checks.relationships(o, "o_custkey", t("customer").where("c_custkey % 10 <> 0"), "c_custkey"),
+        not_null=checks.not_null(o.withColumn("k", F.when(F.col("o_orderkey") % 11 > 0, F.col("o_orderkey"))), "k"), unique=checks.unique(li, "l_orderkey", "l_linenumber"), relationships=checks.relationships(o, "o_custkey", t("customer").where("c_custkey % 10 <> 0"), "c_custkey"),
         accepted_values=checks.accepted_values(o, "o_orderstatus", ["F", "O"]), accepted_range=checks.accepted_range(li, "l_quantity", 2, 40), expression=checks.expression_is_true(o, "o_totalprice > 1000"),
-        ranges=checks.exclusive_ranges(user_versions(t), "effective_from", "effective_to", "user_id"), pair=checks.at_least(shipped(t), "l_shipdate", "o_orderdate"),
-        weights=checks.grouped_expression_is_true(part_suppliers(t), ["l_partkey"], F.sum("allocation_weight"), "value = 1"), same_count=checks.same_count(o, li),
+        ranges=checks.exclusive_ranges(short, "effective_from", "effective_to", "user_id"), last_range=checks.exclusive_ranges(ended, "effective_from", "effective_to", "user_id", last="9999-12-31 23:59:59.999999"),
+        pair=checks.at_least(shipped(t), "l_shipdate", "o_orderdate"),
+        weights=checks.grouped_expression_is_true(part_suppliers(t).where("l_suppkey % 5 <> 0"), ["l_partkey"], F.sum("allocation_weight"), "value = 1"), same_count=checks.same_count(o, li),
         distinct_count=checks.same_distinct_count(o, "o_custkey", t("customer"), "c_custkey"), reconciles=checks.reconciles(o, flagged, {"o_orderkey": "o_orderkey"}, ("o_orderstatus", "status")),
     )
 
@@ -343,11 +366,11 @@ def scd1_and_scd3(t):
     return history.scd3(now(o), before, "o_custkey", ["plan"], F.lit(date(2002, 1, 1))).withColumn("plan_change_date", F.col("plan_change_date").cast("string"))
 
 
-@query("SELECT event_type, count(*) AS n FROM (SELECT event_type, ts < lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS late FROM events) WHERE late GROUP BY event_type")
+@query("SELECT event_type, count(*) AS n FROM (SELECT event_type, ts < lag(ts) OVER (PARTITION BY user_id ORDER BY event_id % 97, event_id) AS late FROM events) WHERE late GROUP BY event_type")
 def out_of_order(t):
     from pyspark.sql import Window
 
-    late = F.col("ts") < F.lag("ts").over(Window.partitionBy("user_id").orderBy("event_id"))
+    late = F.col("ts") < F.lag("ts").over(Window.partitionBy("user_id").orderBy(F.col("event_id") % 97, "event_id"))
     return t("events").withColumn("late", late).where("late").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
@@ -356,3 +379,259 @@ def semi_and_anti(t):
     keys = t("orders").select(F.col("o_custkey").alias("c_custkey"))
     c = t("customer").select("c_custkey")
     return c.join(keys, "c_custkey", "left_semi").withColumn("has_orders", F.lit(True)).unionByName(c.join(keys, "c_custkey", "left_anti").withColumn("has_orders", F.lit(False)))
+
+
+# the table layer, ingest and publishing
+
+
+def counts(spark: SparkSession, rows: list[tuple[str, int]]) -> DataFrame:
+    return spark.createDataFrame(rows, "moment string, n long")
+
+
+@query(f"""SELECT 'main before' AS moment, {GOOD} AS n UNION ALL SELECT 'branch', {ALL} UNION ALL SELECT 'main after', {ALL} UNION ALL SELECT 'merged twice', 0 UNION ALL SELECT 'refused', 1""")
+def branch_and_merge(t):
+    """Rows on a branch are not on main until it is merged; a stale expected hash is refused; the branch goes by its hash."""
+    df = t("nation").select("n_nationkey", "n_name")
+    c = scratch(df.sparkSession)
+    c.append("demo", df.where("n_nationkey < 5"))
+    head = c.get_reference()
+    c.create_branch("dev")
+    c.at("dev").append("demo", df.where("n_nationkey between 5 and 7"))
+    out = [("main before", c.table("demo").count()), ("branch", c.at("dev").table("demo").count())]
+    c.merge_branch("dev", "main", head.hash)
+    out += [("main after", c.table("demo").count()), ("merged twice", int(c.merge_branch("dev").was_applied))]
+    try:
+        c.delete_reference("dev", head.hash)
+    except CatalogError:
+        out.append(("refused", 1))
+    c.delete_reference("dev", c.at("dev").get_reference().hash)
+    return counts(df.sparkSession, out)
+
+
+@query("""SELECT 'snapshots' AS moment, 4::BIGINT AS n UNION ALL SELECT 'manifests', 4 UNION ALL SELECT 'history', 4 UNION ALL SELECT 'rows by file', count(*) FROM nation UNION ALL SELECT 'rows by partition', count(*) FROM nation
+UNION ALL SELECT 'largest key', max(n_nationkey) FROM nation UNION ALL SELECT 'log of appends', 2""")
+def metadata_tables(t):
+    """Snapshots, manifests, history, files and partitions of a table that was created, appended to twice and merged into."""
+    df = t("nation").select("n_nationkey", "n_name")
+    c = scratch(df.sparkSession)
+    c.append("n", df.where("n_nationkey < 5"))
+    c.append("n", df.where("n_nationkey between 5 and 9"))
+    c.merge("n", df.where("n_nationkey >= 4"), ["n_nationkey"])
+    files = c.files("n")
+    top = files.agg(F.max(F.col("upper_bounds")["n_nationkey"].cast("int"))).first()[0]
+    return counts(df.sparkSession, [("snapshots", c.snapshots("n").count()), ("manifests", c.manifests("n").count()), ("history", c.history("n").count()), ("rows by file", files.agg(F.sum("record_count")).first()[0]),
+        ("rows by partition", c.partitions("n").agg(F.sum("record_count")).first()[0]), ("largest key", top), ("log of appends", len(c.get_log(contains="append to n")))])
+
+
+@query(f"""SELECT 'created' AS moment, 0::BIGINT AS n UNION ALL SELECT 'inserted', {GOOD} UNION ALL SELECT 'as select', {ALL} UNION ALL SELECT 'refreshed', {GOOD} UNION ALL SELECT 'other columns refused', 1
+UNION ALL SELECT 'narrower type refused', 1 UNION ALL SELECT 'compacted files', 1 UNION ALL SELECT 'tables after drop', 1 UNION ALL SELECT 'commits that remain', 1""")
+def table_lifecycle(t):
+    """CREATE, INSERT, CREATE AS SELECT, full refresh, refused changes, compaction, DROP and expiry."""
+    df = t("nation").select("n_nationkey", "n_name")
+    c = scratch(df.sparkSession)
+    c.create_table("a", df.schema, ["bucket(n_nationkey,2)"])
+    out = [("created", c.table("a").count())]
+    c.append("a", df.where("n_nationkey < 5"))
+    out.append(("inserted", c.table("a").count()))
+    c.overwrite("b", df.where("n_nationkey < 8"))
+    out.append(("as select", c.table("b").count()))
+    c.overwrite("b", df.where("n_nationkey < 3"))
+    c.append("b", df.where("n_nationkey between 3 and 4"))
+    out.append(("refreshed", c.table("b").count()))
+    for step, change in (("other columns refused", lambda: c.append("b", df.withColumn("more", F.lit(1)))), ("narrower type refused", lambda: c.alter_type("b", "n_nationkey", "smallint"))):
+        try:
+            change()
+        except CatalogError:
+            out.append((step, 1))
+    c.compact("b")
+    out.append(("compacted files", c.files("b").count()))
+    c.drop_table("a")
+    out.append(("tables after drop", len(c.tables())))
+    c.expire_snapshots(now=datetime(2999, 1, 1))
+    return counts(df.sparkSession, [*out, ("commits that remain", len(c.get_log()))])
+
+
+def files_of(t: Callable, folder: str, part: str, columns: list[str], mode: str = "append") -> None:
+    t("nation").where(part).select(*columns).coalesce(1).write.mode(mode).parquet(folder)
+
+
+@query("""SELECT n_nationkey, n_name, CASE WHEN n_nationkey >= 10 THEN n_regionkey END AS n_regionkey, true AS described, 2::BIGINT AS n_files, 1::BIGINT AS n_batches_of_file FROM nation""")
+def ingest_files(t):
+    """Two files of different columns, each taken once though ingest runs three times, with source file, clock, batch and hash on every row."""
+    spark = t("nation").sparkSession
+    c, root = scratch(spark), f"{shared_folder(spark)}/landing-{uuid.uuid4().hex}"
+    schemas = {"nation": t("nation").select("n_nationkey", "n_name", "n_regionkey").schema}
+    files_of(t, f"{root}/nation", "n_nationkey < 10", ["n_nationkey", "n_name"])
+    bronze.ingest(c, root, schemas)
+    files_of(t, f"{root}/nation", "n_nationkey >= 10", ["n_nationkey", "n_name", "n_regionkey"])
+    bronze.ingest(c, root, schemas)
+    bronze.ingest(c, root, schemas)
+    rows = c.table("bronze.nation")
+    each = rows.groupBy("_source_file").agg(F.count_distinct("_batch_id").alias("n_batches_of_file"))
+    whole = rows.agg(F.count_distinct("_source_file").alias("n_files"))
+    described = F.col("_ingested_at").isNotNull() & F.col("_batch_id").isNotNull() & (F.length("_payload_hash") > 0)
+    return rows.join(each, "_source_file").crossJoin(whole).select("n_nationkey", "n_name", "n_regionkey", described.alias("described"), "n_files", "n_batches_of_file")
+
+
+@query("SELECT n_nationkey, n_name, 1::BIGINT AS times FROM nation")
+def stream_files(t):
+    """A stream drains a folder, is stopped, and goes on with what came since: every row arrives once."""
+    spark = t("nation").sparkSession
+    c, root = scratch(spark), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    schema = t("nation").select("n_nationkey", "n_name").schema
+    for part in ("n_nationkey < 10", "n_nationkey >= 10"):
+        files_of(t, f"{root}/in", part, ["n_nationkey", "n_name"])
+        drain(c, f"{root}/in", schema, "n", f"{root}/state")
+    return c.table("n").groupBy("n_nationkey", "n_name").agg(F.count("*").alias("times"))
+
+
+@query("""SELECT 'clean exit' AS moment, 0::BIGINT AS n UNION ALL SELECT 'clean rows', count(*) FROM nation UNION ALL SELECT 'bad exit', 5 UNION ALL SELECT 'bad tables', 0 UNION ALL SELECT 'none exit', 2 UNION ALL SELECT 'built before it', 2""")
+def publish_audited(t):
+    """Write, audit, publish: what passes its tests reaches main, what fails stays on its branch; name+ selects all that follows."""
+    df = t("nation").select("n_nationkey", "n_name")
+    spark = df.sparkSession
+    c, p = scratch(spark), Project()
+    c.append("bronze.nation", df)
+    unique = {"unique": lambda x: checks.unique(x, "n_nationkey")}
+    p.model(("bronze.nation",), name="clean", tests=unique)(lambda x: x)
+    p.model(("clean",), name="bad", tests=unique)(lambda x: x.unionByName(x.where("n_nationkey < 3")))
+    good, bad, none = (write_audit_publish(p, c, x) for x in ("clean", "bad", "nothing_of_this_name"))
+    return counts(spark, [("clean exit", good.exit_code), ("clean rows", c.table("clean").count()), ("bad exit", bad.exit_code), ("bad tables", int(c.exists("bad"))), ("none exit", none.exit_code), ("built before it", len(p.select("clean+")))])
+
+
+@query(SQL["periodic_snapshot"])
+def rolling_snapshot(t):
+    """The periodic snapshot, built in parts: first days, a rolling window of three days, and a backfill of dates that stale rows had taken."""
+    roster = t("events").groupBy("user_id").agg(F.min("ts").cast("date").alias("a"), F.max(F.when(F.col("event_type") == "error", F.col("ts"))).cast("date").alias("b"))
+    versions, c = user_versions(t), scratch(t("events").sparkSession)
+
+    def build(lower: date, upper: date) -> DataFrame:
+        out = dimensional.periodic_snapshot(roster, versions, "user_id", "a", "b", lower, upper, {"tier": "tier"})
+        return out.select("user_id", "snapshot_date", "snapshot_date_key", "tenure_days", "tier")
+
+    stale = lambda lower, upper: build(lower, upper).withColumn("tier", F.lit("stale"))
+    how = {"column": "snapshot_date", "first": date(2024, 1, 3)}
+    dimensional.refresh_snapshot(c, "s", stale, upto=date(2024, 1, 12), **how)
+    dimensional.refresh_snapshot(c, "s", build, upto=date(2024, 1, 12), start=date(2024, 1, 3), stop=date(2024, 1, 10), **how)
+    dimensional.refresh_snapshot(c, "s", build, upto=date(2024, 1, 12), **how)
+    dimensional.refresh_snapshot(c, "s", build, upto=date(2024, 1, 28), **how)
+    return c.table("s").select("user_id", "snapshot_date_key", "tenure_days", "tier")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 1 THEN 'new' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def commit_watermark(t):
+    """The time of the last commit is the watermark: rows that were ingested before it are not merged again, later ones are."""
+    o = t("orders").select("o_orderkey", "o_orderstatus")
+    c = scratch(o.sparkSession)
+    at = lambda df, day: df.withColumn("_ingested_at", F.lit(day).cast("timestamp_ntz"))
+    c.incremental("o", at(o, "2024-01-01"), ["o_orderkey"], by_commit=True)
+    stale, new = (o.where("o_orderkey % 3 = 1").withColumn("o_orderstatus", F.lit(x)) for x in ("stale", "new"))
+    c.incremental("o", at(stale, "2024-01-02"), ["o_orderkey"], by_commit=True)
+    c.incremental("o", at(stale, "2024-01-02").unionByName(at(new, "2999-01-01")), ["o_orderkey"], by_commit=True)
+    return c.table("o").drop("_ingested_at")
+
+
+# measures, ranks and buckets
+
+
+@query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey DESC) AS rn FROM orders)
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS effective_from, coalesce(strftime(lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate), '%Y-%m-%d'), '9999-12-31') AS effective_to,
+CASE WHEN o_orderstatus = 'O' THEN 0 WHEN o_orderkey % 2 = 0 THEN ((CAST(round(o_totalprice * 100) AS BIGINT) + 6) // 12) / 100.0::DOUBLE ELSE CAST(CAST(o_totalprice AS DECIMAL(12, 2)) AS DOUBLE) END AS mrr FROM o WHERE rn = 1""")
+def ledger_revenue(t):
+    """Ledger rows as intervals, with the month's revenue: nothing in trial, a twelfth of an annual price, else the price."""
+    o = t("orders").withColumns({"status": F.when(F.col("o_orderstatus") == "O", "trial").otherwise("active"), "period": F.when(F.col("o_orderkey") % 2 == 0, "annual").otherwise("monthly"), "price": money("o_totalprice")})
+    v = dimensional.ledger_intervals(o, "o_custkey", "o_orderdate", desc("o_orderkey"))
+    day = lambda c: F.substring(F.col(c).cast("string"), 1, 10).alias(c)
+    return v.select("o_orderkey", day("effective_from"), day("effective_to"), dimensional.monthly_revenue("status", "price", "period").cast("double").alias("mrr"))
+
+
+@query("SELECT CAST(o_orderdate AS DATE)::VARCHAR AS day, o_orderstatus, CAST(sum(CAST(o_totalprice AS DECIMAL(12, 2))) AS DOUBLE) AS price, true AS refused FROM orders GROUP BY ALL")
+def semi_additive(t):
+    """A measure that may be summed over status but not over days."""
+    fact = dimensional.SemiAdditive(t("orders").select(F.col("o_orderdate").cast("date").alias("day"), "o_orderstatus", money("o_totalprice").alias("price")), "day", ["price"])
+    refused = False
+    try:
+        fact.total("price", ["o_orderstatus"])
+    except ValueError:
+        refused = True
+    return fact.total("price", ["day", "o_orderstatus"]).select(F.col("day").cast("string").alias("day"), "o_orderstatus", F.col("price").cast("double").alias("price"), F.lit(refused).alias("refused"))
+
+
+@query("SELECT count(*) AS rows, true AS same_in_other_order, true AS tells_a_change FROM orders")
+def checksums(t):
+    """A table's checksum does not depend on the order of rows or on audit columns, and tells a changed value."""
+    o = t("orders")
+    a = checksum(o)
+    b = checksum(o.repartition(7, "o_custkey").withColumn("loaded_at", F.current_timestamp()))
+    c = checksum(o.withColumn("o_orderstatus", F.when(F.col("o_orderkey") == 1, "?").otherwise(F.col("o_orderstatus"))))
+    same = lambda x, y: (F.col(f"{x}.xor") == F.col(f"{y}.xor")) & (F.col(f"{x}.total") == F.col(f"{y}.total"))
+    return a.alias("a").crossJoin(b.alias("b")).crossJoin(c.alias("c")).select(F.col("a.rows").alias("rows"), same("a", "b").alias("same_in_other_order"), (~same("a", "c")).alias("tells_a_change"))
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS n_users, true AS near FROM events GROUP BY event_type")
+def approximate_users(t):
+    """HyperLogLog++ within five times its relative error of the exact number."""
+    out = t("events").groupBy("event_type").agg(F.count_distinct("user_id").alias("n_users"), F.approx_count_distinct("user_id", 0.01).alias("about"))
+    return out.select("event_type", "n_users", (F.abs(F.col("about") - F.col("n_users")) <= F.greatest(F.col("n_users") * 0.05, F.lit(2.0))).alias("near"))
+
+
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_number FROM lineitem")
+def global_rank(t):
+    """Every line's place by price, over ranges rather than in one window."""
+    order = [F.desc("l_extendedprice"), *asc("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    df = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return ranking.global_row_number(df, order).select("l_orderkey", "l_linenumber", "row_number")
+
+
+@query("SELECT o_orderkey, o_totalprice, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS row_number FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+def top_orders(t):
+    return ranking.top(t("orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], 10)
+
+
+@query("SELECT CAST(l_orderkey % 4 AS INTEGER) AS bucket, count(*) AS failures FROM (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) GROUP BY ALL")
+def duplicates_by_bucket(t):
+    """Uniqueness, one bucket of keys at a time."""
+    parts = [checks.unique(checks.in_bucket(t("lineitem"), "l_orderkey", 4, k), "l_orderkey", "l_linenumber").select(F.lit(k).alias("bucket")) for k in range(4)]
+    whole = parts[0]
+    for x in parts[1:]:
+        whole = whole.unionByName(x)
+    return whole.groupBy("bucket").agg(F.count("*").alias("failures"))
+
+
+@query("""WITH m AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events)
+SELECT strftime(a.day, '%Y-%m-%d') AS day, count(*) AS n_active, count(b.user_id) AS n_back, round(count(b.user_id) / count(*), 6) AS back_ratio FROM m a LEFT JOIN m b ON b.user_id = a.user_id AND b.day = a.day + 1 GROUP BY a.day""")
+def analyst_retention(t):
+    """Active users by day, and how many of them are back the day after."""
+    m = t("events").select("user_id", F.col("ts").cast("date").alias("day")).distinct()
+    back = m.select("user_id", F.date_sub("day", 1).alias("day"), F.lit(1).alias("back"))
+    out = m.join(back, ["user_id", "day"], "left").groupBy("day").agg(F.count("*").alias("n_active"), F.count("back").alias("n_back"))
+    return out.select(F.col("day").cast("string").alias("day"), "n_active", "n_back", F.round(F.col("n_back") / F.col("n_active"), 6).alias("back_ratio"))
+
+
+@query("""SELECT r_name, CAST(sum(CAST(o_totalprice AS DECIMAL(12, 2))) AS DOUBLE) AS revenue, round(CAST(sum(CAST(o_totalprice AS DECIMAL(12, 2))) AS DOUBLE) / (SELECT CAST(sum(CAST(o_totalprice AS DECIMAL(12, 2))) AS DOUBLE) FROM orders), 4) AS share
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""")
+def analyst_regions(t):
+    """Revenue by region with its share of all."""
+    o = t("orders").select("o_custkey", money("o_totalprice").alias("price"))
+    whole = o.agg(F.sum("price").cast("double").alias("whole"))
+    by = o.join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    return by.groupBy("r_name").agg(F.sum("price").cast("double").alias("revenue")).crossJoin(F.broadcast(whole)).select("r_name", "revenue", F.round(F.col("revenue") / F.col("whole"), 4).alias("share"))
+
+
+@query("""SELECT c_mktsegment, o_custkey, spent, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY spent DESC, o_custkey) AS place FROM
+(SELECT c_mktsegment, o_custkey, CAST(sum(CAST(o_totalprice AS DECIMAL(12, 2))) AS DOUBLE) AS spent FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)) WHERE place <= 5""")
+def analyst_best_customers(t):
+    """The five customers of each segment who spent most."""
+    from pyspark.sql import Window
+
+    by = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment", "o_custkey").agg(F.sum(money("o_totalprice")).cast("double").alias("spent"))
+    return by.withColumn("place", F.row_number().over(Window.partitionBy("c_mktsegment").orderBy(F.desc("spent"), "o_custkey"))).where("place <= 5")
+
+
+@query("""SELECT o_orderkey, CAST(substr(strftime(o_orderdate, '%Y%m%d'), 1, 6) AS BIGINT) AS month, coalesce(CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice / 100000 END >= 0.9, false) AS finished, CASE WHEN o_orderstatus = 'F' THEN 'true' ELSE 'false' END AS flag,
+lower(substr(o_orderpriority, 3, 4)) || '_' || lpad(o_orderkey::VARCHAR, 8, '0') AS tag, true AS has_clock FROM orders""")
+def scalar_functions_of_text(t):
+    ratio = F.when(F.col("o_orderkey") % 5 > 0, F.col("o_totalprice") / 100000)
+    month = F.substring(date_key("o_orderdate").cast("string"), 1, 6).cast("long")
+    tag = F.concat_ws("_", F.lower(F.substring("o_orderpriority", 3, 4)), F.lpad(F.col("o_orderkey").cast("string"), 8, "0"))
+    return t("orders").select("o_orderkey", month.alias("month"), F.coalesce(ratio >= 0.9, F.lit(False)).alias("finished"), (F.col("o_orderstatus") == "F").cast("string").alias("flag"), tag.alias("tag"), F.current_timestamp().isNotNull().alias("has_clock"))

@@ -128,4 +128,8 @@ def project(now: datetime, upto: date) -> Project:
         f = dimensional.accumulating_snapshot(f, steps, {"hours_to_verify": ("registered", "email_verified"), "hours_to_payment": ("email_verified", "payment"), "hours_to_stream": ("payment", "first_stream")}, now)
         return f.select("signup_id", "subscriber_sk", "plan_sk", date_key("attempt_at").alias("attempt_date_key"), *(f"{x}_date_key" for x in steps), "hours_to_verify", "hours_to_payment", "hours_to_stream", "funnel_status")
 
+    # tables of the gold layer say when they were built
+    for m in p.models.values():
+        if m.layer == "gold" and m.materialized != "view":
+            m.build = lambda *given, build=m.build: dimensional.audited(build(*given), now)
     return p
