@@ -22,12 +22,12 @@ def schema(text: str) -> T.StructType:
 
 
 SCHEMAS = {name: schema(ddl) for name, ddl in {
-    "plans": "plan_id string, current_tier string, current_price_usd double, billing_period string",
-    "devices": "device_id string, device_type string, is_mobile boolean",
+    "plans": "plan_id string, plan_name string, current_tier string, current_price_usd double, billing_period string, max_concurrent_streams long, video_quality string, has_ads boolean, supports_downloads boolean",
+    "devices": "device_id string, device_type string, manufacturer string, model_name string, os_name string, is_mobile boolean",
     "title_genres": "title_id string, genre_name string, allocation_weight double",
-    "title_events": "title_id string, change_event_id string, change_timestamp timestamp_ntz, title_name string, maturity_rating string, runtime_minutes long",
-    "subscriber_events": "subscriber_id string, change_event_id string, change_timestamp timestamp_ntz, change_type string, email string, country_code string, signup_date date, plan_tier string, status string",
-    "playback_sessions": "playback_session_id string, subscriber_id string, title_id string, device_id string, session_started_at timestamp_ntz, session_ended_at timestamp_ntz, watch_duration_seconds long, buffering_count long, playback_quality string",
+    "title_events": "title_id string, change_event_id string, change_timestamp timestamp_ntz, title_name string, content_type string, release_year long, original_language string, maturity_rating string, runtime_minutes long",
+    "subscriber_events": "subscriber_id string, change_event_id string, change_timestamp timestamp_ntz, change_type string, email string, display_name string, country_code string, acquisition_channel string, signup_date date, plan_tier string, status string",
+    "playback_sessions": "playback_session_id string, subscriber_id string, title_id string, device_id string, session_started_at timestamp_ntz, session_ended_at timestamp_ntz, watch_duration_seconds long, playback_percent double, buffering_count long, avg_bitrate_kbps long, playback_quality string",
     "billing_ledger": "billing_transaction_id string, subscriber_id string, plan_id string, payment_type string, is_promo_applied boolean, is_retry boolean, is_autopay boolean, transaction_type string, transaction_posted_at timestamp_ntz, amount_usd double, tax_amount_usd double",
     "watchlist_adds": "watchlist_event_id string, subscriber_id string, title_id string, added_at timestamp_ntz",
     "signup_funnel": "signup_id string, subscriber_id string, attempt_started_at timestamp_ntz, registered_at timestamp_ntz, email_verified_at timestamp_ntz, payment_method_added_at timestamp_ntz, plan_selected_at timestamp_ntz, first_stream_at timestamp_ntz, plan_id_selected string",
@@ -58,26 +58,26 @@ def project(now: datetime, upto: date) -> Project:
 
     @p.model(("silver_subscriber_events", "silver_playback_sessions", "silver_billing_ledger", "silver_watchlist_adds"), layer="gold", tests=intervals("subscriber_id"))
     def dim_subscriber(events: DataFrame, *facts: DataFrame) -> DataFrame:
-        d = history.scd6(events, "subscriber_id", "change_timestamp", "plan_tier", "status", ["email", "country_code"], [*desc("_batch_id", "change_event_id")], ["cancelled", "deleted"], ("signup_date", F.col("change_type") == "signup"), "subscriber_sk")
+        d = history.scd6(events, "subscriber_id", "change_timestamp", "plan_tier", "status", ["email", "display_name", "country_code", "acquisition_channel"], [*desc("_batch_id", "change_event_id")], ["cancelled", "deleted"], ("signup_date", F.col("change_type") == "signup"), "subscriber_sk")
         d = d.withColumn("churn_date_key", date_key("churned_at")).drop("churned_at")
         return history.with_unknown(history.with_inferred(d, [(f, "subscriber_id") for f in facts], "subscriber_sk", "subscriber_id"), "subscriber_sk", "subscriber_id")
 
     @p.model(("silver_title_events",), layer="gold", tests=intervals("title_id"))
     def dim_title(events: DataFrame) -> DataFrame:
         tracked = ["title_name", "maturity_rating", "runtime_minutes"]
-        e = events.select("title_id", "change_timestamp", "change_event_id", "_batch_id", *tracked)
+        e = events.select("title_id", "change_timestamp", "change_event_id", "_batch_id", "content_type", "release_year", "original_language", *tracked)
         d = history.scd2(e, "title_id", "change_timestamp", tracked, desc("_batch_id", "change_event_id"), "title_sk").drop("change_event_id", "_batch_id")
         return history.with_unknown(d, "title_sk", "title_id")
 
     @p.model(("silver_plans",), layer="gold")
     def dim_plan(plans: DataFrame) -> DataFrame:
-        d = plans.select(surrogate_key("plan_id").alias("plan_sk"), "plan_id", "current_tier", "current_price_usd", "billing_period")
+        d = plans.select(surrogate_key("plan_id").alias("plan_sk"), "plan_id", "plan_name", "current_tier", "current_price_usd", "billing_period", "max_concurrent_streams", "video_quality", "has_ads", "supports_downloads")
         d = history.scd3(d, None, "plan_id", ["current_tier", "current_price_usd"], F.lit(now.date()))
         return history.with_unknown(d, "plan_sk", "plan_id", {"current_price_usd": 0})
 
     @p.model(("silver_devices",), layer="gold")
     def dim_device(devices: DataFrame) -> DataFrame:
-        return history.with_unknown(devices.select(surrogate_key("device_id").alias("device_sk"), "device_id", "device_type", "is_mobile"), "device_sk", "device_id")
+        return history.with_unknown(devices.select(surrogate_key("device_id").alias("device_sk"), "device_id", "device_type", "manufacturer", "model_name", "os_name", "is_mobile"), "device_sk", "device_id")
 
     flags = ["payment_type", "is_promo_applied", "is_retry", "is_autopay"]
     p.model(("silver_billing_ledger",), name="dim_payment_method", layer="gold")(lambda b: dimensional.junk(b, flags, "payment_method_sk", {"payment_type": "Unknown", "is_promo_applied": False, "is_retry": False, "is_autopay": False}))
@@ -93,7 +93,7 @@ def project(now: datetime, upto: date) -> Project:
         f = history.pit_join(f, titles, "title_id", "session_started_at", {"title_sk": "title_sk", "runtime_minutes": "runtime_minutes"}, unknown=miss("title_sk"))
         f = history.lookup(f, devices, {"device_id": "device_id"}, {"device_sk": "device_sk"}, miss("device_sk"))
         f = f.withColumn("completion_pct", capped_ratio("watch_duration_seconds", F.col("runtime_minutes") * 60))
-        return f.select("playback_session_id", "subscriber_sk", "title_sk", "device_sk", date_key("session_started_at").alias("session_date_key"), "session_started_at", "watch_duration_seconds", F.col("buffering_count").cast("int").alias("buffering_count"), "completion_pct", F.coalesce(F.col("completion_pct") >= 0.9, F.lit(False)).alias("is_completed"), "_ingested_at")
+        return f.select("playback_session_id", "subscriber_sk", "title_sk", "device_sk", date_key("session_started_at").alias("session_date_key"), "session_started_at", "watch_duration_seconds", F.col("playback_percent").cast("decimal(5,4)").alias("playback_percent"), "avg_bitrate_kbps", F.col("buffering_count").cast("int").alias("buffering_count"), "completion_pct", F.coalesce(F.col("completion_pct") >= 0.9, F.lit(False)).alias("is_completed"), "_ingested_at")
 
     @p.model(("silver_billing_ledger", "dim_subscriber", "dim_plan", "dim_payment_method"), layer="gold", materialized="watermark", keys=("billing_transaction_id",), tests={"unique": lambda df: checks.unique(df, "billing_transaction_id"), "signs": lambda df: checks.expression_is_true(df, "(transaction_type = 'refund') = (amount_usd < 0)")})
     def fct_billing_transactions(b: DataFrame, subs: DataFrame, plans: DataFrame, methods: DataFrame) -> DataFrame:
