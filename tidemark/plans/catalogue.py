@@ -17,7 +17,7 @@ from tidemark.functions import checksum
 from tidemark.operators import checks, dimensional, history, ranking
 from tidemark.operators.history import asc, desc
 from tidemark.plans import Project, write_audit_publish
-from tidemark.session import shared_folder
+from tidemark.session import shared_folder, small_frame
 from tidemark.sources import bronze
 from tidemark.sources.tables import Backfill, Catalog, CatalogError
 from tidemark.streaming import drain
@@ -284,7 +284,7 @@ def time_travel(t):
     bad = c.get_reference()
     out += [("bad", c.table("demo").count()), ("travel", c.at(f"main@{good.hash}").table("demo").count())]
     c.assign_reference("main", bad.hash, good.hash)
-    return df.sparkSession.createDataFrame([*out, ("after", c.table("demo").count())], "moment string, n long")
+    return small_frame(df.sparkSession, [*out, ("after", c.table("demo").count())], "moment string, n long")
 
 
 @query("SELECT n_nationkey::BIGINT AS id, n_name AS title, CASE WHEN n_nationkey >= 10 THEN n_regionkey END AS region FROM nation")
@@ -385,7 +385,7 @@ def semi_and_anti(t):
 
 
 def counts(spark: SparkSession, rows: list[tuple[str, int]]) -> DataFrame:
-    return spark.createDataFrame(rows, "moment string, n long")
+    return small_frame(spark, rows, "moment string, n long")
 
 
 @query(f"""SELECT 'main before' AS moment, {GOOD} AS n UNION ALL SELECT 'branch', {ALL} UNION ALL SELECT 'main after', {ALL} UNION ALL SELECT 'merged twice', 0 UNION ALL SELECT 'refused', 1""")

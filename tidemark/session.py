@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: UTC makes instants and local times agree; ANSI mode makes failed casts and overflows raise.
 PINNED = {"spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true", "spark.sql.adaptive.enabled": "true"}
@@ -26,3 +30,11 @@ def shared_folder(spark: SparkSession) -> str:
     if not own and not spark.sparkContext.master.partition("[")[0] == "local":
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return own or tempfile.mkdtemp(prefix="tidemark-")
+
+
+def small_frame(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType | str) -> DataFrame:
+    """A few rows of the driver's as a local relation: unlike an RDD of them it starts no Python worker, and the planner knows its size."""
+    schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(schema)
+    columns = list(zip(*rows, strict=True)) or [()] * len(arrow)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow), schema)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import payload_hash
+from tidemark.session import small_frame
 from tidemark.sources.tables import Catalog
 
 META = "_source_file string, _ingested_at timestamp_ntz, _batch_id string, _payload_hash string"
@@ -45,7 +46,7 @@ def enrich(spark: SparkSession, files: list[str], schema: T.StructType, root: st
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     want = T.StructType(schema.fields + T._parse_datatype_string(META).fields)
     if out is None:
-        return spark.createDataFrame([], want)
+        return small_frame(spark, [], want)
     return out.select(*(F.col(f.name).cast(f.dataType) if f.name in out.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in want.fields))
 
 
